@@ -149,7 +149,7 @@ def score_postings(
 
 
 def top_hits(
-    scored: DataFrame, top_k: int, where: Column | None = None, id_col: str = "chunk_id"
+    scored: DataFrame, top_k: int, where: Column | None = None, id_col: str = "chunk_id", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Positive scores only, best first, ties by id.
 
@@ -158,7 +158,7 @@ def top_hits(
     from pushing a second copy of the whole score down to the scan.
     """
     hits = scored if where is None else scored.where(where)
-    best = hits.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(top_k)
+    best = hits.select(id_col, *keep, "score").orderBy(F.desc("score"), id_col).limit(top_k)
     return best.where(F.col("score") > 0)
 
 

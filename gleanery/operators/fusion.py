@@ -14,9 +14,9 @@ VECTOR, BM25, TREE = "vector", "bm25", "page_index"
 def rank_scores(ranked: DataFrame, settings: FusionSettings = FusionSettings()) -> DataFrame:
     """`score` = 1 - step x rank, rank from 0: it turns negative beyond twenty ranks.
 
-    `ranked` has chunk_id and rank (1-based) for at most top_k rows.
+    `ranked` has chunk_id and rank (1-based) for at most top_k rows; other columns stay.
     """
-    return ranked.select("chunk_id", (1.0 - (F.col("rank") - 1) * F.lit(settings.rank_step)).alias("score"))
+    return ranked.withColumn("score", 1.0 - (F.col("rank") - 1) * F.lit(settings.rank_step))
 
 
 def effective_weights(has_bm25: Column, has_tree: Column, settings: FusionSettings) -> tuple[Column, Column, Column]:
@@ -35,8 +35,9 @@ def fuse(
     bm25: DataFrame | None = None,
     tree: DataFrame | None = None,
     settings: FusionSettings = FusionSettings(),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """chunk_id, score (the vector score), reranker_score, source, from (chunk_id, score) inputs.
+    """chunk_id, `keep`, score (the vector score), reranker_score, source, from (chunk_id, score) inputs.
 
     Each input holds at most top_k rows, so the one exchange and the weight window below see at
     most three times top_k rows however large the corpus is.
@@ -46,13 +47,13 @@ def fuse(
     for kind, branch in branches:
         if branch is None:
             continue
-        tagged = branch.select("chunk_id", F.col("score").cast("double"), F.lit(kind).alias("kind"))
+        tagged = branch.select("chunk_id", *keep, F.col("score").cast("double"), F.lit(kind).alias("kind"))
         rows = tagged if rows is None else rows.unionByName(tagged)
 
     def of(kind: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)
 
-    merged = rows.groupBy("chunk_id").agg(of(VECTOR), of(BM25), of(TREE))
+    merged = rows.groupBy("chunk_id").agg(of(VECTOR), of(BM25), of(TREE), *[F.max(c).alias(c) for c in keep])
     whole = Window.partitionBy(F.lit(1))
 
     def seen(kind: str) -> Column:
@@ -67,14 +68,14 @@ def fuse(
     )
     label = F.concat_ws("+", *[F.when(F.col(k).isNotNull(), F.lit(k)) for k in (VECTOR, BM25, TREE)])
     return merged.select(
-        "chunk_id", vector_score.alias("score"), combined.alias("reranker_score"), label.alias("source")
+        "chunk_id", *keep, vector_score.alias("score"), combined.alias("reranker_score"), label.alias("source")
     )
 
 
-def with_texts(fused: DataFrame, chunks: DataFrame, top_k: int, keys: list[str] | None = None) -> DataFrame:
+def with_texts(fused: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     """Join the stored columns to the few candidates, drop unknown ids, and keep the best `top_k`.
 
     The broadcast side is bounded by three times top_k rows.
     """
-    found = chunks.join(F.broadcast(fused), keys or ["chunk_id"])
+    found = chunks.join(F.broadcast(fused), "chunk_id")
     return found.orderBy(F.desc("reranker_score"), "chunk_id").limit(top_k)

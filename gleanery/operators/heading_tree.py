@@ -139,7 +139,7 @@ def score_nodes(nodes: DataFrame, question: str, name: str = "name", summary: st
 
 
 def relevant_chunks(trees: DataFrame, question: str, max_chunks: int = 15) -> DataFrame:
-    """chunk_id, rank, score: chunks of the best nodes first, then by url and document order.
+    """chunk_id, url, rank, score: chunks of the best nodes first, then by url and document order.
 
     A chunk's place is that of its best node, its first one among equals. Nodes of a page sit in
     one row, so they fold to one row per chunk before the exchange and the limit is taken per task.
@@ -150,7 +150,7 @@ def relevant_chunks(trees: DataFrame, question: str, max_chunks: int = 15) -> Da
     best = hits.groupBy("chunk_id").agg(F.min(place).alias("place"))
     top = best.orderBy("place", "chunk_id").limit(max_chunks)
     ranked = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("place", "chunk_id"))
-    return top.select("chunk_id", ranked.alias("rank"), (-F.col("place.loss")).alias("score"))
+    return top.select("chunk_id", F.col("place.url").alias("url"), ranked.alias("rank"), (-F.col("place.loss")).alias("score"))
 
 
 def unassigned_chunks(chunks: DataFrame, trees: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ def search(
     id_col: str = "chunk_id",
     vector: str = "embedding",
     default_top_k: int = 10,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The `top_k` rows nearest to `query`, as id and distance, nearest first, ties by id.
+    """The `top_k` rows nearest to `query`, as id, `keep` columns and distance, nearest first, ties by id.
 
     `where` is any predicate on the stored columns and `contains` a text predicate; both sit below
     the distance so that they reach the scan. Only id and vector are read: texts are joined to the
@@ -43,8 +44,8 @@ def search(
         hits = hits.where(where)
     if contains is not None:
         hits = hits.where(F.contains(F.col("text"), F.lit(contains)))
-    hits = hits.where(F.col(vector).isNotNull()).select(id_col, vector)
-    hits = with_distance(hits, query, metric, vector).select(id_col, "distance")
+    hits = hits.where(F.col(vector).isNotNull()).select(id_col, *keep, vector)
+    hits = with_distance(hits, query, metric, vector).select(id_col, *keep, "distance")
     return hits.orderBy("distance", id_col).limit(top_k or default_top_k)
 
 

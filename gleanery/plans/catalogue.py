@@ -238,11 +238,8 @@ def tree_overlap_scores(spark, folder):
 
 @registered
 def tree_topk(spark, folder):
-    ranks = single_node_ranks(document_corpus(spark, folder), QUESTION, 25)
-    scored = fusion.rank_scores(ranks)
-    return ranks.select("chunk_id", "rank").join(
-        scored.select("chunk_id", _r("score").alias("score")), "chunk_id"
-    )
+    scored = fusion.rank_scores(single_node_ranks(document_corpus(spark, folder), QUESTION, 25))
+    return scored.select("chunk_id", "rank", _r("score").alias("score"))
 
 
 def _line_documents(spark: SparkSession, folder: str) -> DataFrame:
