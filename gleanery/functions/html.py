@@ -20,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements whose text is never part of get-text style output.
 SILENT = frozenset(("script", "style", "template"))
 # Elements that are not main content.
-BOILERPLATE = SILENT | frozenset("head noscript svg nav footer aside form iframe button".split())
+BOILERPLATE = SILENT | frozenset("head title noscript svg nav footer aside form iframe button".split())
 BLOCKS = frozenset(
     "address article blockquote body br center dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr "
     "html li main ol p pre section table tbody td tfoot th thead tr ul".split()
