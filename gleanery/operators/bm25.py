@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import Bm25Settings
+from gleanery.functions.generate import exploded
 from gleanery.functions.tokens import keyword_tokens, keyword_tokens_of
 
 
@@ -24,13 +25,13 @@ def postings(tokenised: DataFrame, keys: list[str]) -> DataFrame:
     collapses them fully: the exchange carries postings, never tokens, and a term that is in every
     document is spread over the document keys.
     """
-    rows = tokenised.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    rows = exploded(tokenised, "tokens", "term", (*keys, F.size("tokens").alias("dl")))
     return rows.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tokenised: DataFrame) -> DataFrame:
     """term, df straight from token arrays: map-side counts, one small row per term and task."""
-    terms = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    terms = exploded(tokenised, F.array_distinct("tokens"), "term")
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import ChunkSettings
+from gleanery.functions.generate import inlined
 from gleanery.functions.hashing import chunk_id
 from gleanery.functions.splitter import Splitter, split_pieces
 from gleanery.functions.tokens import words
@@ -137,7 +138,7 @@ def repaired_ids(chunks: Column) -> Column:
 
 
 def exploded_chunks(docs_with_chunks: DataFrame) -> DataFrame:
-    return docs_with_chunks.select(F.inline("chunks"))
+    return inlined(docs_with_chunks, "chunks", "chunk_id")
 
 
 def repair_chunk_ids(rows: DataFrame, order: str, id_col: str = "chunk_id", text: str = "text") -> DataFrame:

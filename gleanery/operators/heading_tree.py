@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import TreeSettings
+from gleanery.functions.generate import exploded, inlined
 from gleanery.functions.tokens import words
 
 NODE_TYPE = (
@@ -144,8 +145,8 @@ def relevant_chunks(trees: DataFrame, question: str, max_chunks: int = 15) -> Da
     A chunk's place is that of its best node, its first one among equals. Nodes of a page sit in
     one row, so they fold to one row per chunk before the exchange and the limit is taken per task.
     """
-    nodes = trees.select("url", F.inline("nodes"))
-    hits = score_nodes(nodes, question).select("url", "pos", "score", F.posexplode("chunk_ids").alias("at", "chunk_id"))
+    nodes = inlined(trees, "nodes", "pos", ("url",))
+    hits = exploded(score_nodes(nodes, question), "chunk_ids", "chunk_id", ("url", "pos", "score"), "at")
     place = F.struct((-F.col("score")).alias("loss"), "url", "pos", "at")
     best = hits.groupBy("chunk_id").agg(F.min(place).alias("place"))
     top = best.orderBy("place", "chunk_id").limit(max_chunks)
@@ -155,7 +156,7 @@ def relevant_chunks(trees: DataFrame, question: str, max_chunks: int = 15) -> Da
 
 def unassigned_chunks(chunks: DataFrame, trees: DataFrame) -> DataFrame:
     """Chunks no tree node refers to."""
-    linked = trees.select(F.explode(subtree_chunk_ids(F.col("nodes"))).alias("chunk_id")).distinct()
+    linked = exploded(trees, subtree_chunk_ids(F.col("nodes")), "chunk_id").distinct()
     return chunks.join(linked, "chunk_id", "left_anti")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import TreeSettings
+from gleanery.functions.generate import exploded
 from gleanery.operators import heading_tree
 from gleanery.session import cut_lineage
 
@@ -128,10 +129,9 @@ def chosen_chunks(
 
     chosen = cut_lineage(placed.mapInArrow(run, "batch string, at int, url string, node_id string, ordinal int"))
     picked = chosen.where("node_id IS NOT NULL").join(trees.select("url", "nodes"), "url")
-    chunks = picked.select(
-        "url", F.struct(F.lit(0).alias("kind"), "batch", "at", "ordinal").alias("turn"),
-        F.posexplode(heading_tree.subtree_chunk_ids(F.col("nodes"), F.col("node_id"))).alias("pos", "chunk_id"),
-    )
+    turn = F.struct(F.lit(0).alias("kind"), "batch", "at", "ordinal").alias("turn")
+    below = heading_tree.subtree_chunk_ids(F.col("nodes"), F.col("node_id"))
+    chunks = exploded(picked, below, "chunk_id", ("url", turn), "pos")
     failed = chosen.where("node_id IS NULL").select("url").distinct()
     ruled = heading_tree.relevant_chunks(trees.join(failed, "url", "left_semi"), question, max_chunks)
     ruled = ruled.select(

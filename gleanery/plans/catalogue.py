@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.config import ChunkSettings, EmbeddingSettings
+from gleanery.functions.generate import exploded, inlined
 from gleanery.functions.hashing import chunk_id, content_fingerprint, content_hash, query_key
 from gleanery.functions.tokens import keyword_tokens, token_estimate, words
 from gleanery.functions.vectors import similarity
@@ -120,7 +121,7 @@ def bm25_index_topk(spark, folder):
 
 @registered
 def hash_embedding(spark, folder):
-    vector = _embedded(spark, folder).select("chunk_id", F.posexplode("embedding").alias("idx", "value"))
+    vector = exploded(_embedded(spark, folder), "embedding", "value", ("chunk_id",), "idx")
     return vector.where("value <> 0").select("chunk_id", "idx", _r(F.col("value").cast("double")).alias("value"))
 
 
@@ -277,33 +278,33 @@ def _line_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def section_nesting(spark, folder):
-    rows = _line_documents(spark, folder).select("url", F.inline("sections"))
+    rows = inlined(_line_documents(spark, folder), "sections", "pos", ("url",))
     return rows.select("url", "pos", "level", "parent_pos")
 
 
 @registered
 def section_paths(spark, folder):
-    rows = _line_documents(spark, folder).select("url", F.inline("sections"))
+    rows = inlined(_line_documents(spark, folder), "sections", "pos", ("url",))
     return rows.select("url", "pos", "path", F.size("ancestors").alias("depth"))
 
 
 @registered
 def tree_nodes(spark, folder):
-    rows = heading_tree.tree_nodes(_line_documents(spark, folder)).select("url", F.inline("nodes"))
+    rows = inlined(heading_tree.tree_nodes(_line_documents(spark, folder)), "nodes", "pos", ("url",))
     return rows.select("url", "node_id", "name", "summary", "content_preview", "level", F.size("chunk_ids").alias("n_chunks"))
 
 
 @registered
 def tree_node_chunks(spark, folder):
-    rows = heading_tree.tree_nodes(_line_documents(spark, folder)).select("url", F.inline("nodes"))
-    return rows.select("url", "node_id", F.posexplode("chunk_ids").alias("idx", "chunk_id"))
+    rows = inlined(heading_tree.tree_nodes(_line_documents(spark, folder)), "nodes", "pos", ("url",))
+    return exploded(rows, "chunk_ids", "chunk_id", ("url", "node_id"), "idx")
 
 
 @registered
 def subtree_chunks(spark, folder):
     """Chunks of the subtree below the second heading of every document."""
     trees = heading_tree.tree_nodes(_line_documents(spark, folder))
-    return trees.select("url", F.posexplode(heading_tree.subtree_chunk_ids(F.col("nodes"), "0002")).alias("idx", "chunk_id"))
+    return exploded(trees, heading_tree.subtree_chunk_ids(F.col("nodes"), "0002"), "chunk_id", ("url",), "idx")
 
 
 @registered
@@ -316,7 +317,7 @@ def tree_outline(spark, folder):
 def tree_json_round_trip(spark, folder):
     """Nested JSON and back; all nodes must come back as they were."""
     trees = heading_tree.tree_nodes(_line_documents(spark, folder))
-    rows = heading_tree.flatten_trees(heading_tree.nested_json(trees)).select("url", F.inline("nodes"))
+    rows = inlined(heading_tree.flatten_trees(heading_tree.nested_json(trees)), "nodes", "pos", ("url",))
     return rows.select("url", "node_id", "parent_pos", "name", "level", F.size("chunk_ids").alias("n_chunks"))
 
 
@@ -324,7 +325,7 @@ def tree_json_round_trip(spark, folder):
 def unassigned_chunks(spark, folder):
     """Chunk ids of every line under names the trees do not use, next to those they do."""
     docs = _line_documents(spark, folder)
-    known = docs.select(F.inline("chunks")).select("chunk_id")
+    known = inlined(docs, "chunks", "chunk_id").select("chunk_id")
     renamed = known.select(F.concat("chunk_id", F.lit("+")).alias("chunk_id"))
     return heading_tree.unassigned_chunks(known.unionByName(renamed), heading_tree.tree_nodes(docs))
 
@@ -362,7 +363,7 @@ def sections_text(spark, folder):
 @registered
 def chunk_hard_split(spark, folder):
     corpus = document_corpus(spark, folder)
-    rows = corpus.select("chunk_id", F.inline(chunking.word_windows(F.col("text"))))
+    rows = inlined(corpus, chunking.word_windows(F.col("text")), "start", ("chunk_id",))
     return rows.select("chunk_id", "start", "text")
 
 
@@ -370,13 +371,12 @@ def chunk_hard_split(spark, folder):
 def chunk_overlap(spark, folder):
     pieces = chunking.with_overlap(F.split("text", "\n"))
     corpus = document_corpus(spark, folder)
-    rows = corpus.select("chunk_id", F.posexplode(pieces).alias("idx", "text"))
-    return rows.select("chunk_id", "idx", "text")
+    return exploded(corpus, pieces, "text", ("chunk_id",), "idx").select("chunk_id", "idx", "text")
 
 
 @registered
 def chunk_ids(spark, folder):
-    rows = _line_documents(spark, folder).select("url", F.inline("sections"))
+    rows = inlined(_line_documents(spark, folder), "sections", "pos", ("url",))
     return rows.select("url", "pos", chunk_id(F.col("url"), F.col("heading"), F.col("pos")).alias("chunk_id"))
 
 
@@ -447,13 +447,13 @@ def html_main_text(spark, folder):
 
 @registered
 def html_links(spark, folder):
-    rows = _pages(spark, folder).select("url", F.posexplode("links").alias("idx", "link"))
+    rows = exploded(_pages(spark, folder), "links", "link", ("url",), "idx")
     return rows.select("url", "idx", F.col("link.text").alias("text"), F.col("link.href").alias("href"))
 
 
 @registered
 def html_sections(spark, folder):
-    rows = _pages(spark, folder).select("url", F.posexplode("sections").alias("pos", "s"))
+    rows = exploded(_pages(spark, folder), "sections", "s", ("url",), "pos")
     text = F.array_join(words(F.col("s.content")), " ")
     return rows.select("url", "pos", "s.heading", "s.level", F.md5(text.cast("binary")).alias("content_md5"))
 
@@ -472,7 +472,7 @@ def page_chunks(spark, folder):
 @registered
 def page_trees(spark, folder):
     docs = structure.structure_documents(_pages(spark, folder))
-    rows = heading_tree.tree_nodes(chunking.chunk_documents(docs)).select("url", F.inline("nodes"))
+    rows = inlined(heading_tree.tree_nodes(chunking.chunk_documents(docs)), "nodes", "pos", ("url",))
     return rows.select("url", "node_id", "name", "level", F.size("chunk_ids").alias("n_chunks"))
 
 

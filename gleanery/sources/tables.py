@@ -14,13 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def document_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """documents as chunks: chunk_id, text, source_url, and the first line as the section heading."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return spread(docs, "doc_id").select(
-        F.col("doc_id").cast("string").alias("chunk_id"),
-        "text",
-        F.col("source").alias("source_url"),
-        F.substring_index("text", "\n", 1).alias("section_heading"),
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("source_url")
     )
+    # Spread by the chunk id, so that aggregates by chunk need no exchange of their own.
+    return spread(docs, "chunk_id").withColumn("section_heading", F.substring_index("text", "\n", 1))
 
 
 def web_pages(spark: SparkSession, folder: str) -> DataFrame:
