@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "l2", "ip")
+DECIMALS = 12
 
 
 def checked_metric(metric: str) -> str:
@@ -40,12 +41,18 @@ def cosine_matrix(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def distance_matrix(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """cosine = 1 - cos, l2 = squared Euclidean, ip = 1 - dot."""
+    """cosine = 1 - cos, l2 = squared Euclidean, ip = 1 - dot, to DECIMALS places.
+
+    Copies of a row may get sums that differ in the last bit, by their place in a matrix product;
+    rounding makes them tie, so that their order by id is the same in every run.
+    """
     if metric == "l2":
-        return np.stack([((rows - q) ** 2).sum(axis=1) for q in queries], axis=1)
-    if metric == "ip":
-        return 1.0 - rows @ queries.T
-    return 1.0 - cosine_matrix(rows, queries)
+        distances = np.stack([((rows - q) ** 2).sum(axis=1) for q in queries], axis=1)
+    elif metric == "ip":
+        distances = 1.0 - rows @ queries.T
+    else:
+        distances = 1.0 - cosine_matrix(rows, queries)
+    return np.round(distances, DECIMALS)
 
 
 def distance_to(query: Sequence[float], metric: str = "cosine") -> Callable[[Column], Column]:

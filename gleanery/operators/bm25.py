@@ -15,6 +15,9 @@ def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", keyword_tokens(F.col(text)))
 
 
+# Sums taken in another order differ in the last bits; rounded, equal documents tie in every run.
+DECIMALS = 12
+
 # ---------------------------------------------------------------- index tables
 
 
@@ -35,6 +38,14 @@ def document_frequencies(tokenised: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def vocabulary(tokenised: DataFrame) -> DataFrame:
+    """term, df, length: document frequencies, and one row of null term with the number of documents
+    and their total length. One pass over the texts gives all the counts behind the scores."""
+    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
+    rows = exploded(tokenised, marked, "term", (F.size("tokens").cast("bigint").alias("dl"),))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+
+
 def term_frequencies(posting_rows: DataFrame) -> DataFrame:
     """term, df from stored postings."""
     return posting_rows.groupBy("term").agg(F.count("*").alias("df"))
@@ -103,16 +114,18 @@ def score_texts(
     if not weights:
         return tokenised.withColumn("score", F.lit(0.0))
     terms = list(weights)
-    frequencies = document_frequencies(tokenised)
-    corpus = tokenised.agg(
-        F.count("*").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl")
+    # Counting rows needs no column; everything else comes from one aggregate of the vocabulary.
+    n = tokenised.agg(F.count("*").alias("n")).scalar().cast("double")
+    is_term = F.col("term").isNotNull()
+    per_term = [
+        F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(terms)
+    ]
+    stats = vocabulary(tokenised).agg(
+        F.avg(F.when(is_term, raw_idf(n, F.col("df")))).alias("mean_idf"),
+        F.max(F.when(~is_term, F.col("length") / F.col("df"))).alias("avgdl"),
+        *per_term,
     )
-    n = corpus.select("n").scalar().cast("double")
-    per_term = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(terms)]
-    vocabulary = frequencies.agg(F.avg(raw_idf(n, F.col("df"))).alias("mean_idf"), *per_term)
-    stats = vocabulary.select(F.struct("*")).scalar()
-
-    rows = tokenised.withColumn("_stats", stats).withColumn("_avgdl", corpus.select("avgdl").scalar())
+    rows = tokenised.withColumn("_stats", stats.select(F.struct("*")).scalar())
     rows = rows.withColumn("_hits", F.filter("tokens", lambda t: t.isin(terms)))
     dl = F.size("tokens").cast("double")
     score = F.lit(0.0)
@@ -120,9 +133,9 @@ def score_texts(
         tf = _count_of("_hits", term).cast("double")
         df = F.col(f"_stats.df{i}")
         idf = floored_idf(raw_idf(n, df), F.col("_stats.mean_idf"), settings.epsilon)
-        part = F.lit(float(weights[term])) * idf * saturation(tf, dl, F.col("_avgdl"), settings)
+        part = F.lit(float(weights[term])) * idf * saturation(tf, dl, F.col("_stats.avgdl"), settings)
         score = score + F.when(tf > 0, part).otherwise(0.0)
-    return rows.withColumn("score", score).drop("_stats", "_avgdl", "_hits")
+    return rows.withColumn("score", F.round(score, DECIMALS)).drop("_stats", "_hits")
 
 
 def score_postings(
@@ -146,7 +159,7 @@ def score_postings(
     rows = posting_rows.where(F.col("term").isin(terms)).join(F.broadcast(asked), "term")
     avgdl = statistics.select("avgdl").scalar()
     part = F.col("times") * F.col("idf") * saturation(F.col("tf").cast("double"), F.col("dl").cast("double"), avgdl, settings)
-    return rows.groupBy(*keys).agg(F.sum(part).alias("score"))
+    return rows.groupBy(*keys).agg(F.round(F.sum(part), DECIMALS).alias("score"))
 
 
 def top_hits(

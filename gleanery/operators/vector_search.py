@@ -44,9 +44,11 @@ def search(
         hits = hits.where(where)
     if contains is not None:
         hits = hits.where(F.contains(F.col("text"), F.lit(contains)))
-    hits = hits.where(F.col(vector).isNotNull()).select(id_col, *keep, vector)
-    hits = with_distance(hits, query, metric, vector).select(id_col, *keep, "distance")
-    return hits.orderBy("distance", id_col).limit(top_k or default_top_k)
+    hits = with_distance(hits.select(id_col, *keep, vector), query, metric, vector).select(id_col, *keep, "distance")
+    # Rows without a vector sort last and are dropped after the limit: a filter on the vector itself
+    # would be pushed down and compute an embedding column twice.
+    best = hits.orderBy(F.asc_nulls_last("distance"), id_col).limit(top_k or default_top_k)
+    return best.where(F.col("distance").isNotNull())
 
 
 def get_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:

@@ -50,7 +50,7 @@ post AS (
 ),
 asked AS (SELECT unnest({_list(_QUESTION_TERMS)}) AS term),
 part AS (
-  SELECT chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  SELECT chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
   FROM asked JOIN post USING (term) JOIN idf USING (term), stat GROUP BY chunk_id
 ),
 scored AS (
@@ -91,7 +91,7 @@ doc_dot AS (
   SELECT chunk_id, sum(d.value * q.value) AS dot FROM doc_cell d JOIN q_cell q USING (idx) GROUP BY chunk_id
 ),
 doc_distance AS (
-  SELECT c.chunk_id, c.source_url, c.text, 1 - coalesce(dot / (l.len * (SELECT len FROM q_len)), 0.0) AS distance
+  SELECT c.chunk_id, c.source_url, c.text, round(1 - coalesce(dot / (l.len * (SELECT len FROM q_len)), 0.0), 12) AS distance
   FROM corpus c LEFT JOIN doc_dot USING (chunk_id) LEFT JOIN doc_len l USING (chunk_id)
 )"""
 
@@ -99,7 +99,7 @@ doc_distance AS (
 def _knn(distance: str, where: str = "TRUE") -> str:
     return f"""
 WITH q AS (SELECT {_QUERY_VECTOR} AS q),
-d AS (SELECT vec_id, label, {distance} AS distance FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings), q)
+d AS (SELECT vec_id, label, round({distance}, 12) AS distance FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings), q)
 SELECT vec_id, round(distance, 6) AS distance FROM d WHERE {where} ORDER BY d.distance, vec_id LIMIT {TOP_K}"""
 
 
@@ -242,7 +242,7 @@ dots AS (
   SELECT chunk_id, item, sum(d.value * i.value) AS dot FROM doc_cell d JOIN item_cell i USING (idx) GROUP BY ALL
 ),
 sims AS (
-  SELECT c.chunk_id, i.item, i.chars, coalesce(dot / (dl.len * il.len), 0.0) AS sim
+  SELECT c.chunk_id, i.item, i.chars, 1 - round(1 - coalesce(dot / (dl.len * il.len), 0.0), 12) AS sim
   FROM corpus c CROSS JOIN item i LEFT JOIN dots USING (chunk_id, item)
   LEFT JOIN doc_len dl USING (chunk_id) LEFT JOIN item_len il USING (item)
 )"""
