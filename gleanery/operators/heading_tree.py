@@ -124,19 +124,20 @@ def question_terms(question: str) -> list[str]:
     return sorted(set(question.lower().split()))
 
 
-def node_overlap(name: Column, summary: Column, question: str) -> Column:
-    """Share of the question's terms that occur in a node's name or summary."""
-    terms = question_terms(question)
-    if not terms:
-        return F.lit(0.0)
-    own = words(F.lower(F.concat(name, F.lit(" "), summary)))
-    asked = F.array(*[F.lit(t) for t in terms])
-    return F.size(F.array_intersect(own, asked)) / F.lit(float(len(terms)))
+def _node_terms(name: Column, summary: Column) -> Column:
+    return words(F.lower(F.concat(name, F.lit(" "), summary)))
 
 
 def score_nodes(nodes: DataFrame, question: str, name: str = "name", summary: str = "summary") -> DataFrame:
-    scored = nodes.withColumn("score", node_overlap(F.col(name), F.col(summary), question))
-    return scored.where(F.col("score") > 0)
+    """Nodes that share a term with the question, with `score`, the share of the question's terms
+    found in a node's name or summary."""
+    terms = question_terms(question)
+    if not terms:
+        return nodes.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    own, asked = _node_terms(F.col(name), F.col(summary)), F.array(*[F.lit(t) for t in terms])
+    # The cheap test stops at the first common term; scores are worked out for what is left.
+    shared = F.size(F.array_intersect(own, asked)) / F.lit(float(len(terms)))
+    return nodes.where(F.arrays_overlap(own, asked)).withColumn("score", shared)
 
 
 def relevant_chunks(trees: DataFrame, question: str, max_chunks: int = 15) -> DataFrame:

@@ -134,6 +134,8 @@ def search_many(
     n_queries = asked.select(query_id).count()
     if n_queries > QUERY_BLOCK and corpus.select(id_col).limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
         held = _present_table(corpus)
+        if held.num_rows == 0:
+            return df.sparkSession.createDataFrame([], output + ", rank int")
         found = asked.mapInArrow(lambda batches: _held_corpus(batches, held, top_k, metric), output)
         return found.withColumn("rank", F.row_number().over(order))
 
@@ -146,8 +148,12 @@ def search_many(
     found = None
     for block in blocks:
         held = _present_table(block)
+        if held.num_rows == 0:
+            continue
         part = corpus.mapInArrow(lambda batches, held=held: _held_queries(batches, held, top_k, metric), output)
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], output)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 

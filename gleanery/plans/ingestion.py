@@ -90,6 +90,7 @@ def ingest(
         removed = cut_lineage(change_detection.orphans(known, staged.select("url")))
         n_removed = removed.count()
 
+    rewritten: set[int] = set()
     if counts["urls_processed"]:
         touched = done.select(F.col("url").alias("source_url"))
         chunks = chunking.exploded_chunks(done)
@@ -100,7 +101,7 @@ def ingest(
             "dl", F.size(keyword_tokens(F.col("text")))
         )
         store.chunks.replace(touched, embedded)
-        store.postings.replace(touched, postings)
+        rewritten.update(store.postings.replace(touched, postings))
         trees = heading_tree.tree_nodes(done, s.tree) if tree_builder is None else tree_builder(done)
         store.trees.replace(done.select("url"), trees)
     if staged.where("outcome IN ('processed', 'failed') AND content_markdown IS NOT NULL").limit(1).count():
@@ -109,10 +110,10 @@ def ingest(
     if n_removed:
         gone = removed.select(F.col("url").alias("source_url"))
         store.chunks.replace(gone)
-        store.postings.replace(gone)
+        rewritten.update(store.postings.replace(gone))
         store.trees.replace(removed)
-    if counts["urls_processed"] or n_removed:
-        store.refresh_statistics()
+    if rewritten:
+        store.refresh_statistics(sorted(rewritten))
 
     seen = staged.where("outcome = 'processed' OR (outcome = 'cached' AND content_hash IS NOT NULL)")
     state = seen.select(

@@ -40,6 +40,8 @@ class Store:
         self.chunks = KeyedTable(spark, f"{root}/chunks", CHUNKS, "source_url", n, ("source_url", "seq"))
         # Sorted by term within a bucket, so a question reads only the row groups of its terms.
         self.postings = KeyedTable(spark, f"{root}/postings", POSTINGS, "source_url", n, ("term", "chunk_id"))
+        # Document frequencies per bucket of urls: only those of rewritten buckets are counted anew.
+        self.bucket_terms = KeyedTable(spark, f"{root}/bucket_terms", "term string, df bigint", "term", n, ("term",))
         self.trees = KeyedTable(spark, f"{root}/trees", TREES, "url", n)
         self.documents = KeyedTable(spark, f"{root}/documents", DOCUMENTS, "url", n)
         self.url_state = KeyedTable(spark, f"{root}/url_state", URL_STATE, "url", n)
@@ -54,14 +56,18 @@ class Store:
         tokenised = chunks.select("source_url", "chunk_id", keyword_tokens(F.col("text")).alias("tokens"))
         return bm25.postings(tokenised, ["source_url", "chunk_id"]).withColumn("dl", F.col("dl").cast("int"))
 
-    def refresh_statistics(self) -> None:
+    def refresh_statistics(self, buckets: list[int] | None = None) -> None:
         """Vocabulary and corpus statistics and the content fingerprint from the stored tables.
 
-        Reads the term column of the postings and the length and hash columns of the chunks. With an
-        empty store the index counts as absent.
+        Terms are counted in the postings of the rewritten `buckets` only (all by default) and summed
+        over the counts of all buckets; of the chunks only lengths and hashes are read.
         """
+        numbers = list(range(self.settings.url_buckets)) if buckets is None else sorted(buckets)
+        counted = self.postings.read(with_bucket=True).where(F.col(BUCKET).isin(numbers))
+        counted = counted.groupBy(BUCKET, "term").agg(F.count("*").alias("df"))
+        self.bucket_terms.write_buckets(counted, numbers)
+        frequencies = self.bucket_terms.read().groupBy("term").agg(F.sum("df").alias("df"))
         chunks = self.chunks.read()
-        frequencies = bm25.term_frequencies(self.postings.read())
         stats = bm25.corpus_statistics(chunks.select("dl"), frequencies)
         fingerprint = content_fingerprint(chunks).scalar()
         stats = stats.withColumn("fingerprint", fingerprint).coalesce(1)

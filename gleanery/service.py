@@ -220,11 +220,11 @@ class Gleanery:
         """Remove one url from every table."""
         one = self.spark.createDataFrame([(url,)], "url string")
         self.store.chunks.replace(one.withColumnRenamed("url", "source_url"))
-        self.store.postings.replace(one.withColumnRenamed("url", "source_url"))
+        rewritten = self.store.postings.replace(one.withColumnRenamed("url", "source_url"))
         self.store.trees.replace(one)
         self.store.url_state.replace(one)
         if self.store.has_index():
-            self.store.refresh_statistics()
+            self.store.refresh_statistics(rewritten)
 
     # ------------------------------------------------------------ status
 

@@ -52,8 +52,9 @@ class KeyedTable:
         rows = rows.where((F.col(BUCKET) == one) & (F.col(self.key) == value))
         return rows if with_bucket else rows.select(*self.columns)
 
-    def replace(self, touched: DataFrame, rows: DataFrame | None = None) -> None:
-        """Drop all rows of the `touched` keys, then add `rows` (of touched keys only).
+    def replace(self, touched: DataFrame, rows: DataFrame | None = None) -> list[int]:
+        """Drop all rows of the `touched` keys, then add `rows` (of touched keys only). Returns the
+        rewritten buckets.
 
         `touched` should be materialised: it is read twice. The list of bucket numbers that comes to
         the driver has at most `buckets` entries.
@@ -61,21 +62,24 @@ class KeyedTable:
         keys = touched.select(self.key).where(F.col(self.key).isNotNull()).distinct()
         numbers = [r[0] for r in keys.select(self.bucket_of(self.key).alias("b")).distinct().collect()]
         if not numbers:
-            return
+            return numbers
         rest = self.read(with_bucket=True).where(F.col(BUCKET).isin(numbers))
         rest = rest.join(keys, self.key, "left_anti").select(*self.columns)
-        self._write(rest if rows is None else rest.unionByName(rows.select(*self.columns)), numbers)
+        whole = rest if rows is None else rest.unionByName(rows.select(*self.columns))
+        self.write_buckets(whole.withColumn(BUCKET, self.bucket_of(self.key)), numbers)
+        return numbers
 
     def rewrite(self, rows: DataFrame) -> None:
         """Replace the whole table."""
-        self._write(rows.select(*self.columns), list(range(self.buckets)))
+        named = rows.select(*self.columns).withColumn(BUCKET, self.bucket_of(self.key))
+        self.write_buckets(named, list(range(self.buckets)))
 
     def clear(self) -> None:
         if self.exists():
             self.rewrite(self.spark.createDataFrame([], self.schema))
 
-    def _write(self, rows: DataFrame, numbers: list[int]) -> None:
-        named = rows.withColumn(BUCKET, self.bucket_of(self.key))
+    def write_buckets(self, named: DataFrame, numbers: list[int]) -> None:
+        """Swap the content of these buckets for `named`, rows that carry their bucket."""
         blank = self.spark.createDataFrame([(n,) for n in numbers], f"{BUCKET} int")
         whole = named.unionByName(blank, allowMissingColumns=True)
         # Rebalancing by bucket: adaptive execution splits a bucket that one large key dominates and

@@ -35,7 +35,7 @@ LOANS_HTML = page("Loans", (1, "Home loans", "variable loan rate offset account"
 
 def make(spark, root, **changes):
     settings = Settings(
-        root=str(root), url_buckets=4, chunking=ChunkSettings(min_chunk_size=2),
+        root=str(root), url_buckets=2, chunking=ChunkSettings(min_chunk_size=2),
         embedding=EmbeddingSettings(dimension=32), **changes,
     )
     now = [1_000_000.0]
@@ -292,7 +292,7 @@ def test_keyed_table_drops_the_last_row_of_a_bucket(spark, app):
     table = app.store.url_state
     row = [("a", "1", None, None, 0.0, "text", None)]
     table.rewrite(spark.createDataFrame(row, table.schema))
-    assert table.read(with_bucket=True).select(BUCKET).first()[0] in range(4)
+    assert table.read(with_bucket=True).select(BUCKET).first()[0] in range(2)
     table.replace(spark.createDataFrame([("a",)], "url string"))
     assert table.read().count() == 0
 
