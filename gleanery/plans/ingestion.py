@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import change_detection, chunking, heading_tree, structure
 from gleanery.functions.tokens import keyword_tokens
 from gleanery.plans.store import Store
-from gleanery.session import cut_lineage
+from gleanery.session import Scratch, cut_lineage
 from gleanery.sources.pages import as_pages
 
 
@@ -56,17 +56,25 @@ def ingest(
     every table write replaces whole urls, so repeating a run changes nothing.
     """
     started = time.perf_counter()
+    with Scratch(store.spark) as scratch:
+        report = _run(store, pages, embedder, force, sync, counter, tree_builder, scratch)
+    report.duration_seconds = time.perf_counter() - started
+    return report
+
+
+def _run(store: Store, pages: DataFrame, embedder, force: bool, sync: bool, counter, tree_builder, scratch: Scratch) -> IngestionReport:
     s = store.settings
     # One row per url. Materialised because the expensive extraction feeds several writes, and
     # because the state it was compared with is about to change.
     unique = pages.dropDuplicates(["url"])
     classified = classify(unique, store, force)
-    fresh = structure.structure_documents(classified)
-    chunked = chunking.chunk_documents(fresh.where("outcome = 'processed'"), s.chunking, counter)
-    idle = fresh.where("outcome <> 'processed'").withColumn(
-        "chunks", F.array().cast(chunked.schema["chunks"].dataType)
-    )
-    staged = cut_lineage(chunked.unionByName(idle))
+    # Pages that are not processed lose their structure here and go on with nothing to cut: one pass
+    # over the pages, rather than one per outcome.
+    wanted = F.col("outcome") == "processed"
+    emptied = {c: F.when(wanted, F.col(c)).otherwise(F.array().cast(classified.schema[c].dataType)) for c in ("sections", "tables")}
+    fresh = structure.structure_documents(classified.withColumns(emptied))
+    fresh = fresh.withColumn("plain_text", F.when(wanted, F.col("plain_text")))
+    staged = scratch.table(chunking.chunk_documents(fresh, s.chunking, counter), "documents")
 
     # A page without chunks fails; its document is kept all the same and its old chunks stay.
     outcome = F.when((F.col("outcome") == "processed") & (F.size("chunks") == 0), "failed").otherwise(F.col("outcome"))
@@ -82,6 +90,8 @@ def ingest(
         ).otherwise(0).alias("tokens"),
         "error",
     )
+    # Narrow rows that outlive the run's scratch tables.
+    details = cut_lineage(details)
     counts = change_detection.rollup(details).first()
 
     removed, n_removed = None, 0
@@ -94,7 +104,7 @@ def ingest(
     if counts["urls_processed"]:
         touched = done.select(F.col("url").alias("source_url"))
         chunks = chunking.exploded_chunks(done)
-        postings = cut_lineage(store.index_chunks(chunks))
+        postings = scratch.table(store.index_chunks(chunks), "postings")
         # Chunk length, as the keyword index sees it, next to the chunk: the corpus statistics then
         # never read texts or postings.
         embedded = chunks.withColumn("embedding", embedder.column(F.col("text"))).withColumn(
@@ -104,9 +114,9 @@ def ingest(
         rewritten.update(store.postings.replace(touched, postings))
         trees = heading_tree.tree_nodes(done, s.tree) if tree_builder is None else tree_builder(done)
         store.trees.replace(done.select("url"), trees)
-    if staged.where("outcome IN ('processed', 'failed') AND content_markdown IS NOT NULL").limit(1).count():
-        docs = staged.where("outcome IN ('processed', 'failed') AND content_markdown IS NOT NULL")
-        store.documents.replace(docs.select("url"), docs)
+    # Also pages that turned out to have no chunks.
+    docs = staged.where("outcome IN ('processed', 'failed') AND plain_text IS NOT NULL")
+    store.documents.replace(docs.select("url"), docs)
     if n_removed:
         gone = removed.select(F.col("url").alias("source_url"))
         store.chunks.replace(gone)
@@ -129,7 +139,6 @@ def ingest(
     return IngestionReport(
         **{k: int(counts[k]) for k in counts.asDict()},
         urls_removed=n_removed,
-        duration_seconds=time.perf_counter() - started,
         details=details,
         removed_urls=removed,
     )
