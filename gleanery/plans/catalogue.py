@@ -16,7 +16,7 @@ from gleanery.operators import answers, bm25, change_detection, chunking, fusion
 from gleanery.operators import structure, vector_search
 from gleanery.operators.embedding import HashingEmbedder
 from gleanery.plans.retrieval import bm25_branch, retrieve_from_texts, single_node_ranks, single_node_summary
-from gleanery.session import spread
+from gleanery.session import cut_lineage
 from gleanery.sources.tables import document_corpus, table, web_pages
 
 QUESTION = "What is the EN tion, erenon thnt inea? THNT"
@@ -108,8 +108,9 @@ def bm25_max_norm(spark, folder):
 
 @registered
 def bm25_index_topk(spark, folder):
-    """The same scores by way of postings and term statistics."""
-    rows = bm25.postings(_tokens(spark, folder), ["chunk_id"])
+    """The same scores by way of an index: postings are built once and then read for the term
+    statistics and for the terms of the question."""
+    rows = cut_lineage(bm25.postings(_tokens(spark, folder), ["chunk_id"]))
     frequencies = bm25.term_frequencies(rows)
     stats = bm25.corpus_statistics(_tokens(spark, folder).select(F.size("tokens").alias("dl")), frequencies)
     scored = bm25.score_postings(rows, bm25.term_statistics(frequencies, stats), stats, QUESTION, ["chunk_id"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import change_detection, chunking, heading_tree, structure
 from gleanery.functions.tokens import keyword_tokens
 from gleanery.plans.store import Store
-from gleanery.session import Scratch, cut_lineage
+from gleanery.session import Scratch, cut_lineage, spread
 from gleanery.sources.pages import as_pages
 
 
@@ -31,9 +31,11 @@ class IngestionReport:
 
 
 def classify(pages: DataFrame, store: Store, force: bool) -> DataFrame:
-    """Extracted pages with a `status`: processed (so far), cached or failed, and an `error`."""
+    """Extracted pages, one per url, with an `outcome`: processed (so far), cached or failed, and an `error`."""
     s = store.settings
-    extracted = structure.extract_pages(as_pages(pages))
+    # Extraction comes before the first exchange, which therefore carries extracted text and no
+    # html. One exchange by url serves both the removal of repeats and the join with the state.
+    extracted = structure.extract_pages(as_pages(spread(pages, "url"))).dropDuplicates(["url"])
     compared = change_detection.with_change(extracted, store.url_state.read())
     unreachable = "cached" if s.report_unreachable_as_cached and not force else "failed"
     status = (
@@ -64,16 +66,15 @@ def ingest(
 
 def _run(store: Store, pages: DataFrame, embedder, force: bool, sync: bool, counter, tree_builder, scratch: Scratch) -> IngestionReport:
     s = store.settings
-    # One row per url. Materialised because the expensive extraction feeds several writes, and
-    # because the state it was compared with is about to change.
-    unique = pages.dropDuplicates(["url"])
-    classified = classify(unique, store, force)
+    classified = classify(pages, store, force)
     # Pages that are not processed lose their structure here and go on with nothing to cut: one pass
     # over the pages, rather than one per outcome.
     wanted = F.col("outcome") == "processed"
     emptied = {c: F.when(wanted, F.col(c)).otherwise(F.array().cast(classified.schema[c].dataType)) for c in ("sections", "tables")}
     fresh = structure.structure_documents(classified.withColumns(emptied))
     fresh = fresh.withColumn("plain_text", F.when(wanted, F.col("plain_text")))
+    # Materialised because several writes need it, and because the state it was compared with is
+    # about to change.
     staged = scratch.table(chunking.chunk_documents(fresh, s.chunking, counter), "documents")
 
     # A page without chunks fails; its document is kept all the same and its old chunks stay.

@@ -203,7 +203,8 @@ earlier AS (
 
 # ---- pages: one heading per page, no tables, unclosed paragraphs
 
-_PAGE_HEAD = r"""replace(replace(regexp_extract(html, '(?s)<{0}>(.*?)</{0}>', 1), '&amp;', '&'), '&quot;', '"')"""
+# Character references end with or without a semicolon, and titles may be cut off inside one.
+_PAGE_HEAD = r"""replace(regexp_replace(regexp_extract(html, '(?s)<{0}>(.*?)</{0}>', 1), '&amp;?', '&', 'g'), '&quot;', '"')"""
 
 
 def _page_text(html: str) -> str:

@@ -6,6 +6,7 @@ Each call runs Spark jobs and brings at most top_k results or a few counters to
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -29,6 +30,10 @@ class EmptyStoreError(LookupError):
     """Nothing has been ingested yet."""
 
 
+class BusyError(RuntimeError):
+    """An ingestion is already running."""
+
+
 @dataclass
 class Response:
     answer: str
@@ -42,6 +47,23 @@ class Response:
     cache_hit_type: str = ""
     search_schema: dict = field(default_factory=dict)
 
+    def reply(self) -> dict:
+        """The response of the query call: scores to four places, times to one."""
+        sources = [
+            {
+                "chunk_id": s["chunk_id"],
+                "text": s["text"],
+                "score": round(s["score"], 4),
+                "reranker_score": round(s["reranker_score"], 4),
+                "source": s["source"],
+                "source_url": s["metadata"].get("source_url", ""),
+                "section_heading": s["metadata"].get("section_heading", ""),
+            }
+            for s in self.sources
+        ]
+        times = {k: round(v, 1) for k, v in vars(self).items() if k.endswith("_time_ms")}
+        return {**vars(self), "sources": sources, **times}
+
 
 def checked_request(question: str, top_k: int) -> None:
     if not 1 <= len(question) <= 2000:
@@ -62,6 +84,7 @@ class Gleanery:
         self.store = Store(spark, self.settings)
         self.started_at = clock()
         self.last_ingestion: IngestionReport | None = None
+        self._ingesting = threading.Lock()
 
     # ------------------------------------------------------------ ingestion
 
@@ -73,9 +96,14 @@ class Gleanery:
         builder = None
         if self.complete is not None:
             builder = lambda docs: reasoning.generated_trees(docs, self.complete, self.settings.tree)
-        self.last_ingestion = ingest(
-            self.store, pages, self.embedder, force, mode == "sync", self.counter, builder
-        )
+        if not self._ingesting.acquire(blocking=False):
+            raise BusyError("an ingestion is already running")
+        try:
+            self.last_ingestion = ingest(
+                self.store, pages, self.embedder, force, mode == "sync", self.counter, builder
+            )
+        finally:
+            self._ingesting.release()
         return self.last_ingestion
 
     def ingest_urls(self, urls: list[str] | DataFrame, force: bool = False, mode: str = "sync", **fetch) -> IngestionReport:
@@ -88,6 +116,8 @@ class Gleanery:
 
     def ingest_status(self) -> dict:
         report = self.last_ingestion
+        if self._ingesting.locked():
+            return {"status": "in_progress"}
         if report is None:
             return {"status": "no_data"}
         counters = {k: v for k, v in vars(report).items() if k not in ("details", "removed_urls")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery.cli import main
 from gleanery.config import CacheSettings, ChunkSettings, EmbeddingSettings, Settings
-from gleanery.service import EmptyStoreError, Gleanery
+from gleanery.service import BusyError, EmptyStoreError, Gleanery
 from gleanery.sources.keyed_table import BUCKET
 from gleanery.sources.pages import download, fetch_pages
 from gleanery.sources.trees import read_trees, write_trees
@@ -83,6 +83,10 @@ def test_ingest_query_and_cache(spark, app):
     assert reply.search_schema["@data.count"] == 3 and reply.search_schema["@search.answers"] == []
     assert reply.search_schema["value"][0]["sourcefile"] == "home"
 
+    shown = reply.reply()
+    assert shown["sources"][0]["section_heading"] == "Goal saver" and shown["sources"][0]["source_url"] == HOME
+    assert shown["total_time_ms"] == round(reply.total_time_ms, 1)
+
     again = app.query("  GOAL saver bonus ", top_k=3)
     assert again.cache_hit_type == "exact" and again.sources == reply.sources and again.answer == reply.answer
     # A smaller top_k has another key: it is found by similarity, and called exact by its text.
@@ -175,6 +179,10 @@ def test_request_bounds(app):
         with pytest.raises(ValueError):
             app.query(question, k)
     assert app.ingest_status() == {"status": "no_data"}
+    with app._ingesting:
+        assert app.ingest_status() == {"status": "in_progress"}
+        with pytest.raises(BusyError):
+            app.ingest(None)
 
 
 def test_cache_eviction_keeps_the_most_recently_hit(spark, tmp_path):
