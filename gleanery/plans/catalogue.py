@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.config import ChunkSettings, EmbeddingSettings
 from gleanery.functions.generate import exploded, inlined
 from gleanery.functions.hashing import chunk_id, content_fingerprint, content_hash, query_key
-from gleanery.functions.tokens import keyword_tokens, token_estimate, words
+from gleanery.functions.tokens import token_estimate, words
 from gleanery.functions.vectors import similarity
 from gleanery.operators import answers, bm25, change_detection, chunking, fusion, heading_tree, result_cache
 from gleanery.operators import structure, vector_search

@@ -262,7 +262,7 @@ SELECT chunk_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct,
     "bm25_term_stats": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_corpus_stats": f"WITH {_BM25} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM stat, mean",
     "bm25_postings": f"""WITH {_BM25}
-SELECT chunk_id, dl, count(*) AS n_terms, sum(tf) AS sum_tf, max(tf) AS max_tf FROM post GROUP BY ALL""",
+SELECT chunk_id, dl, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS sum_tf, max(tf) AS max_tf FROM post GROUP BY ALL""",
     "bm25_topk": f"WITH {_BM25}, h AS ({_bm25_hits(TOP_K)}) SELECT chunk_id, round(score, 6) AS score FROM h",
     "bm25_all_scores": f"WITH {_BM25} SELECT chunk_id, round(score, 6) AS score FROM scored",
     "bm25_filtered": f"""WITH {_BM25}, h AS ({_bm25_hits(TOP_K, "source_url = 'src7'")})
@@ -396,8 +396,8 @@ d AS (
   FROM hashed h LEFT JOIN earlier e USING (url)
 )
 SELECT count(*) FILTER (status = 'processed') AS urls_processed, count(*) FILTER (status = 'cached') AS urls_skipped_cached,
-  count(*) FILTER (status = 'failed') AS urls_failed, coalesce(sum(chunks) FILTER (status = 'processed'), 0) AS total_chunks,
-  coalesce(sum(tokens) FILTER (status = 'processed'), 0) AS total_tokens FROM d""",
+  count(*) FILTER (status = 'failed') AS urls_failed, CAST(coalesce(sum(chunks) FILTER (status = 'processed'), 0) AS BIGINT) AS total_chunks,
+  CAST(coalesce(sum(tokens) FILTER (status = 'processed'), 0) AS BIGINT) AS total_tokens FROM d""",
     "orphan_urls": f"WITH {_HASHED} SELECT DISTINCT url FROM earlier WHERE url NOT IN (SELECT url FROM hashed)",
     "upsert_chunks": """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
 UNION ALL SELECT CAST(item_id AS VARCHAR), text FROM benchmark""",
@@ -421,7 +421,7 @@ WHERE n = 1 AND sim >= 0.5 AND chars > 150""",
 SELECT query_hash, round(last_hit_at, 6) AS last_hit_at, round(created_at, 6) AS created_at FROM entry
 ORDER BY entry.last_hit_at DESC, entry.created_at DESC, query_hash LIMIT 1000""",
     "cache_stats": f"""WITH {_EVENTS}
-SELECT count(*) AS total_entries, coalesce(sum(hit_count), 0) AS total_hits, round(coalesce(max(last_hit_at), 0), 6) AS last_hit_at,
+SELECT count(*) AS total_entries, CAST(coalesce(sum(hit_count), 0) AS BIGINT) AS total_hits, round(coalesce(max(last_hit_at), 0), 6) AS last_hit_at,
   0.92::DOUBLE AS similarity_threshold, 86400.0::DOUBLE AS ttl_seconds FROM entry""",
     "cache_store": f"""WITH {_CORPUS}
 SELECT CAST(item_id AS VARCHAR) AS query_hash, text AS query, 'old' AS url_filter, 7 AS hit_count, {NOW}::DOUBLE AS last_hit_at, 1.0::DOUBLE AS created_at
