@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, mixing, packing, warc
+from gleanery.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, url_filter, warc
 from gleanery.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,35 @@ def op1_mix_to_weights(spark, folder):
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+@registered
+def op2_url_filter(spark, folder):
+    return url_filter.judged(table(spark, folder, "pages"))
+
+
+@registered
+def op3_minhash_near_dedup(spark, folder):
+    found = near_dedup.near_groups(table(spark, folder, "documents"), n=2)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
+@registered
+def op4_line_chunks(spark, folder):
+    clean = line_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return clean.select(
+        "row.doc_id",
+        "n_lines",
+        "n_chunks",
+        "n_removed",
+        F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"),
+    )
+
+
+@registered
+def op6_chat_snapshots(spark, folder):
+    return chat.render(table(spark, folder, "conversations"))
+
+
 @registered
 def op8_exact_dedup(spark, folder):
     docs = table(spark, folder, "documents")
@@ -105,3 +134,34 @@ SELECT doc_id, size, source_size, target,
                                   WHEN base < rest AND base + inner_upto - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM z
 """
+
+ORACLES["op4_line_chunks"] = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+           FROM documents),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
+s AS (SELECT *, lag(h, 1, 0) OVER d AS h1, lag(h, 2, 0) OVER d AS h2 FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, sum(CASE WHEN h1 > 0 AND (h2 * 31 + h1) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS pos
+      FROM s),
+k AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines FROM c GROUP BY doc_id, pos),
+m AS (SELECT *, n_lines > 1 AND regexp_matches(body, '[^\\x20\\x09-\\x0D]') AND row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1
+             AS gone FROM k)
+SELECT doc_id, sum(n_lines)::INT AS n_lines, count(*)::INT AS n_chunks, (count(*) FILTER (gone))::INT AS n_removed,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '')
+              || CASE WHEN arg_max(gone, pos) AND NOT bool_and(gone) THEN chr(10) ELSE '' END) AS clean_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLES["op6_chat_snapshots"] = """
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position
+           FROM conversations),
+p AS (SELECT *, string_agg(coalesce(role, '') || chr(1) || coalesce(text, ''), chr(2))
+                OVER (PARTITION BY conv_id ORDER BY position) AS prefix,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+f AS (SELECT min(conv_id) AS conv_id FROM p a WHERE position = n
+      AND NOT EXISTS (SELECT 1 FROM p b WHERE b.prefix = a.prefix AND b.position = a.position AND b.position < b.n)
+      GROUP BY prefix)
+SELECT conv_id, ((position - 1) // 256)::INT AS part, count(*) AS n_turns,
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY position)
+       AS rendered
+FROM t JOIN f USING (conv_id) GROUP BY conv_id, part
+"""

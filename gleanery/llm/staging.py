@@ -56,3 +56,20 @@ def hash60(*parts: Column | str) -> Column:
     """60 bits of the MD5 of the parts, as a long; null parts count as such. The same value in any SQL engine."""
     texts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
+
+
+#: Keys with more than 1/HOT_KEYS of all rows are joined by broadcast: there are fewer than HOT_KEYS of them.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to `keyed`, which has one row per key and in `count` how many rows the key has at most; `count` is dropped.
+
+    total: at least the number of all rows. The hot keys, fewer than HOT_KEYS by this definition, go to every task; the others
+    have few rows each and are shuffled. `rows` is read twice, so it should be a narrow staged table.
+    """
+    least = total // HOT_KEYS
+    hot = keyed.where(F.col(count) > least).drop(count)
+    cold = keyed.where(F.col(count) <= least).drop(count)
+    kept = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(kept.join(cold, key, how))
