@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from gleanery.functions.generate import exploded
 from gleanery.llm.staging import join_counted, staged
 
 MEAN_LINES = 3
@@ -54,8 +55,8 @@ def chunk_flags(docs: DataFrame) -> DataFrame:
     keyed = docs.where(F.col("text").isNotNull()).select(
         F.coalesce(doc, F.lit(_LAST)).alias("doc"), F.col("text").cast("string").alias("text")
     )
-    exploded = keyed.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(chunks_of(F.col("text"))))
-    bodies = exploded.select("doc", "text_key", "pos", _body(F.col("col")).alias("body"))
+    rows = exploded(keyed, chunks_of(F.col("text")), "chunk", ("doc", F.xxhash64("text").alias("text_key")), "pos")
+    bodies = rows.select("doc", "text_key", "pos", _body(F.col("chunk")).alias("body"))
     passages = bodies.where(_is_passage(F.col("body")))
     # Grouping by the passage itself compares bytes.
     repeated = passages.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc")).where("n > 1")

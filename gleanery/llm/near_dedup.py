@@ -89,6 +89,10 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def set_digest(ordered: np.ndarray) -> bytes:
+    return hashlib.blake2b(ordered, digest_size=16).digest()
+
+
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and its band keys (null for empty sets)."""
 
@@ -101,7 +105,7 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([band_keys(densified(s)).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "digest", "bands"],
@@ -114,13 +118,13 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
+def bucket_rows(nodes: DataFrame, bands: int = BINS // ROWS) -> DataFrame:
     """node, key: of every bucket that holds at least two nodes; with the number of nodes as `members`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            node = np.repeat(batch.column(0).to_numpy(), BINS // ROWS)
+            node = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys)], names=["node", "key"])
 
     every = staged(nodes.select("node", "bands").mapInArrow(run, "node long, key long"), "bands")

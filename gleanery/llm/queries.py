@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, url_filter, warc
+from gleanery.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, toxicity, url_filter, warc
 from gleanery.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,11 +49,21 @@ def op4_line_chunks(spark, folder):
     )
 
 
+@registered
+def op5_document_fingerprints(spark, folder):
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
 @registered
 def op6_chat_snapshots(spark, folder):
     return chat.render(table(spark, folder, "conversations"))
 
 
+@registered
+def op7_toxicity(spark, folder):
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @registered
 def op8_exact_dedup(spark, folder):
     docs = table(spark, folder, "documents")
@@ -135,6 +145,21 @@ SELECT doc_id, size, source_size, target,
 FROM z
 """
 
+ORACLES["op3_minhash_near_dedup"] = f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(x) < 2 THEN x ELSE [x[i] || ' ' || x[i + 1] FOR i IN range(1, len(x))] END) AS x
+      FROM w),
+n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(x) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
+"""
+
 ORACLES["op4_line_chunks"] = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
            FROM documents),

@@ -35,9 +35,9 @@ RULES = (
 )
 #: Words of unwanted host names that label the training pages.
 SEED_WORDS = (
-    "adult", "ads", "ad", "bet", "bets", "betting", "casino", "casinos", "cialis", "escort", "gambling", "hentai", "jackpot",
-    "lottery", "malware", "nude", "payday", "phishing", "pill", "pills", "pharmacy", "poker", "porn", "sex", "slots", "spam",
-    "torrent", "tracker", "track", "viagra", "warez", "xxx",
+    "adult", "bets", "betting", "casino", "casinos", "cialis", "escort", "gambling", "hentai", "jackpot", "lottery", "malware",
+    "nude", "payday", "phishing", "pills", "pharmacy", "poker", "porn", "slots", "spam", "torrent", "tracker", "track", "viagra",
+    "warez", "xxx",
 )
 LONGEST_WORD = 20
 LONGEST_NAME = 63

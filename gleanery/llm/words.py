@@ -19,6 +19,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII but letters and digits.
+_NOT_LETTER = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,42 +73,63 @@ def _pieces(values: np.ndarray, piece: int) -> Iterator[tuple[int, int]]:
         start = min(end, n)
 
 
-def word_hashes(column: pa.Array, lower: bool = True, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of every text, in order, and the n+1 offsets of the rows' words."""
-    values, offsets = string_bytes(column)
-    rows = len(offsets) - 1
-    counts = np.zeros(rows, np.int64)
-    parts: list[np.ndarray] = []
-    row_starts = offsets[:-1]
+def _spans(values: np.ndarray, offsets: np.ndarray, separators: np.ndarray, piece: int) -> Iterator[tuple]:
+    """Per piece: prefix sums of its letters, starts and ends of its words, their rows, and the inverse powers at the starts."""
     for lo, hi in _pieces(values, piece):
         part = values[lo:hi]
-        inside = ~_SPACE[part]
-        # A text that ends without white space must not run into the next one.
+        inside = ~separators[part]
+        # A text that ends without a separator must not run into the next one.
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
-        first = np.searchsorted(offsets, lo, "left")
-        last = np.searchsorted(offsets, hi, "left")
-        cuts = offsets[first:last] - lo
+        cuts = offsets[np.searchsorted(offsets, lo, "left") : np.searchsorted(offsets, hi, "left")] - lo
         begins[cuts] = inside[cuts]
         starts = np.flatnonzero(begins)
         if not len(starts):
             continue
-        ends_at = inside.copy()
-        ends_at[:-1] &= ~inside[1:] | begins[1:]
-        ends = np.flatnonzero(ends_at) + 1
-        letters = (_LOWER[part] if lower else part).astype(np.uint64)
+        stops = inside.copy()
+        stops[:-1] &= ~inside[1:] | begins[1:]
+        ends = np.flatnonzero(stops) + 1
         with np.errstate(over="ignore"):
-            letters += np.uint64(1)
-            letters *= _power_table(_BASE, len(part))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters, dtype=np.uint64)])
-            hashes = (total[ends] - total[starts]) * _power_table(_INVERSE, len(part) + 1)[starts]
-        parts.append(mix64(hashes))
-        owner = np.searchsorted(row_starts, starts + lo, "right") - 1
-        counts += np.bincount(owner, minlength=rows)
+            letters = (part.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(part))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters, dtype=np.uint64)])
+        owner = np.searchsorted(offsets[:-1], starts + lo, "right") - 1
+        yield total, starts, ends, owner, _power_table(_INVERSE, len(part) + 1)[starts]
+
+
+def word_hashes(column: pa.Array, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (A-Z as a-z) of every text, in order, and the n+1 offsets of the rows' words."""
+    values, offsets = string_bytes(column)
+    counts = np.zeros(len(column), np.int64)
+    parts: list[np.ndarray] = []
+    for total, starts, ends, owner, inverse in _spans(lower_ascii(values), offsets, _SPACE, piece):
+        with np.errstate(over="ignore"):
+            parts.append(mix64((total[ends] - total[starts]) * inverse))
+        counts += np.bincount(owner, minlength=len(counts))
     found = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), found
 
 
+def affix_hashes(column: pa.Array, prefixes: tuple[int, ...], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of letter runs and of the first bytes of longer ones, the rows they belong to, and the letter runs of each row."""
+    values, offsets = string_bytes(column)
+    counts = np.zeros(len(column), np.int64)
+    hashes: list[np.ndarray] = []
+    rows: list[np.ndarray] = []
+    for total, starts, ends, owner, inverse in _spans(values, offsets, _NOT_LETTER, piece):
+        with np.errstate(over="ignore"):
+            hashes.append(mix64((total[ends] - total[starts]) * inverse))
+            rows.append(owner)
+            for n in prefixes:
+                longer = ends - starts > n
+                at = starts[longer]
+                hashes.append(mix64((total[at + n] - total[at]) * inverse[longer] + np.uint64(n)))
+                rows.append(owner[longer])
+        counts += np.bincount(owner, minlength=len(counts))
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
+    return np.concatenate(hashes), np.concatenate(rows), counts
+
+
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every run of `n` words of one text; of the whole text, if it has fewer (none without words)."""
     if not len(hashes):
