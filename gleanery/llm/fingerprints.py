@@ -5,8 +5,8 @@ shingles x. The likeness of two fingerprints is the share of equal values, which
 `near_links` joins bands of the fingerprints in Spark and verifies the Jaccard similarity of the candidates on the full sets.
 
 `edited_fingerprints` compares every text with an edited one, whose last third comes from the next document. Texts move once, by
-ranges of doc_id, and a task streams over its range in order, so each document meets its next. Only the pairs at the seams of
-the ranges (one for each task) are matched afterwards.
+ranges of doc_id, and a task streams over its ranges in order, so each document meets its next. The first document of each range
+is copied to the range before it. The ranges' bounds and first ids, one number for each range, are all the driver sees.
 
 Defined results: null text counts as empty. A text without words has the fingerprint of no shingle, like only to itself. Equal
 doc_ids are ordered by text, null ids come last. A single document is its own next. Empty tables give empty results.
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +31,9 @@ BAND_ROWS = 4
 SHINGLE = 5
 PERCENT = 80
 PIECE_ROWS = 256
+#: Ranges of doc_id for each shuffle partition.
+RANGES = 4
+_LAST = (1 << 63) - 1
 
 with np.errstate(over="ignore"):
     _A = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -79,9 +81,6 @@ _RESULT = (
 )
 _NAMES = [field.split()[0] for field in _RESULT.split(", ")]
 _KINDS = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in _RESULT.split(", ")]
-_SEAM = "part int, first_text string, last_id long, last_text string"
-
-
 def _pairs(ids: list, texts: list[str], n: int) -> list[tuple]:
     """Results of all rows but the last, each with the row after it as its next."""
     prints, shingles = signatures(pa.array(texts, pa.string()), n)
@@ -102,58 +101,84 @@ def _pairs(ids: list, texts: list[str], n: int) -> list[tuple]:
     ]
 
 
-def _batch(rows: list[tuple], seam: tuple | None = None) -> pa.RecordBatch:
-    size = len(rows) + (seam is not None)
-    columns = [pa.array([r[k] for r in rows] + [None] * (size - len(rows)), kind) for k, kind in enumerate(_KINDS)]
-    seams = [None] * len(rows) + ([seam] if seam is not None else [])
-    kinds = (pa.int32(), pa.string(), pa.int64(), pa.string())
-    columns += [pa.array([s and s[k] for s in seams], kind) for k, kind in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, names=[*_NAMES, *[f.split()[0] for f in _SEAM.split(", ")]])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=_NAMES)
+
+
+def _ranges(ids: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Bounds that cut the ids (descending order: the negated ids) into ranges, and for the largest id of each range that has
+    rows the range before it, which needs a copy of it. One number for each range."""
+    shares = [i / parts for i in range(1, parts)]
+    bounds = np.unique(np.array(ids.approxQuantile("place", shares, 0.25 / parts) if shares else [], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(0).to_numpy()
+            part, first = np.searchsorted(bounds, places, "left"), np.full(len(bounds) + 1, _LAST, np.int64)
+            np.minimum.at(first, part, places)
+            some = np.unique(part)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(first[some])], names=["part", "first"])
+
+    firsts = ids.mapInArrow(run, "part long, first long").groupBy("part").agg(F.min("first").alias("first")).collect()
+    filled = sorted((r["part"], r["first"]) for r in firsts)
+    guests: dict[int, list[int]] = {}
+    for i, (_, first) in enumerate(filled):
+        guests.setdefault(first, []).append(filled[i - 1][0])
+    return bounds, guests
 
 
 def edited_fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Per document: fingerprints of its text and of its edited text, and how like they are."""
+    # Descending doc_id, null last: ascending places.
     narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(-F.col("doc_id").cast("long"), F.lit(_LAST)).alias("place"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds, guests = _ranges(narrow.select("place"), parts)
+    copied = np.array(sorted(guests), np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "is_guest", "doc_id", "place", "text"]
+        for batch in batches:
+            places = batch.column("place").to_numpy()
+            part = np.searchsorted(bounds, places, "left")
+            own = np.zeros(len(part), bool)
+            columns = [batch.column(c) for c in ("doc_id", "place", "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own), *columns], names=names)
+            for i in np.flatnonzero(np.isin(places, copied)):
+                for before in guests[int(places[i])]:
+                    row = [c.slice(i, 1) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([before], pa.int64()), pa.array([True]), *row], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held, first = [], [], None
+        held_ids, held, at, done = [], [], None, False
         for batch in batches:
             for start in range(0, batch.num_rows, PIECE_ROWS):
-                part = batch.slice(start, PIECE_ROWS)
-                held_ids += part.column(0).to_pylist()
-                held += part.column(1).to_pylist()
-                first = held[0] if first is None else first
+                columns = [batch.column(k).slice(start, PIECE_ROWS).to_pylist() for k in range(4)]
+                out = []
+                for part, is_guest, doc_id, text in zip(*columns, strict=True):
+                    if part != at or (is_guest and not done):
+                        # The guest is the next document of the range's last one; only the first of equal guests counts.
+                        if part == at:
+                            held_ids.append(doc_id)
+                            held.append(text)
+                        out += _pairs(held_ids, held, n) if len(held) > 1 else []
+                        held_ids, held, done = [], [], part == at
+                        at = part
+                    if not is_guest:
+                        held_ids.append(doc_id)
+                        held.append(text)
                 if len(held) > 1:
-                    yield _batch(_pairs(held_ids, held, n))
+                    out += _pairs(held_ids, held, n)
                 held_ids, held = held_ids[-1:], held[-1:]
-        if held:
-            yield _batch([], (TaskContext.get().partitionId(), first, held_ids[0], held[0]))
-
-    out = staged(ordered.mapInArrow(run, f"{_RESULT}, {_SEAM}"), "edited")
-    inner = out.where("part is null").select(*_NAMES)
-    # The ranges that have rows, in order: one number for each task.
-    filled = sorted(r["part"] for r in out.where("part is not null").select("part").collect())
-    if not filled:
-        return inner
-    seams = out.where("part is not null").select("part", "first_text", "last_id", "last_text")
-    after = docs.sparkSession.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, next_part int")
-    firsts = seams.select(F.col("part").alias("next_part"), F.col("first_text").alias("next_text"))
-    pairs = seams.join(after, "part").join(firsts, "next_part").select("last_id", "last_text", "next_text")
-
-    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                last, text, following = (batch.column(k)[i].as_py() for k in range(3))
-                rows += _pairs([last, None], [text, following], n)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=_NAMES)
-
-    return inner.unionByName(pairs.mapInArrow(mend, _RESULT))
+                if out:
+                    yield _batch(out)
+
+    schema = "part long, is_guest boolean, doc_id long, place long, text string"
+    dealt = narrow.mapInArrow(deal, schema).repartition("part").sortWithinPartitions("part", "is_guest", "place", "text")
+    return dealt.select("part", "is_guest", "doc_id", "text").mapInArrow(run, _RESULT)
 
 
 def fingerprint_rows(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
