@@ -149,10 +149,9 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[i] for i in keep], pa.binary())], names=["node", "set"])
 
     asked = wanted.select("node", "digest", F.col("doc_id").alias("asked_id"))
-    found = _narrow(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("node", "digest", "text")
-    sets = found.mapInArrow(run, "node long, set binary")
-    # Rows that repeat doc_id and text give the same set again.
-    return staged(sets.dropDuplicates(["node"]), "sets")
+    # The wanted nodes grow with the corpus: the same join at every size. Rows that repeat doc_id and text give a set again.
+    found = _narrow(docs).join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    return staged(found.select("node", "digest", "text").mapInArrow(run, "node long, set binary"), "sets")
 
 
 def _compare(percent: int):
@@ -185,7 +184,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         "centre", "node", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
     )
     centres = salts.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asked = members.unionByName(centres).join(sets, "node")
+    asked = members.unionByName(centres).hint("merge").join(sets, "node")
     dealt = asked.withColumn("is_member", F.col("centre") != F.col("node")).repartition("centre", "salt")
     dealt = dealt.sortWithinPartitions("centre", "salt", "is_member").select("centre", "node", "set")
     return dealt.mapInArrow(_compare(percent), "a long, b long")
@@ -209,13 +208,15 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
         if labels is not None:
             known = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             known = staged(known, "labelled")
-            several = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            several = several.where("low <> high").select("key")
-            open_rows = known
+            spans = known.groupBy("key").agg(
+                F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n")
+            )
+            several = staged(spans.where("low <> high").select("key", "n"), "open")
+            open_rows = staged(join_counted(known, several, "key", "n", total), "open_rows")
         top = open_rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= last).where(F.col("rank") >= first)
         columns = ["key", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), "members"]
         if labels is not None:
-            top = top.join(several, "key", "left_semi").withColumn("label_centre", F.col("label"))
+            top = top.withColumn("label_centre", F.col("label"))
             columns.append("label_centre")
         centres = staged(top.select(*columns), "centres")
         if centres.isEmpty():

@@ -66,10 +66,13 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
     """rows joined to `keyed`, which has one row per key and in `count` how many rows the key has at most; `count` is dropped.
 
     total: at least the number of all rows. The hot keys, fewer than HOT_KEYS by this definition, go to every task; the others
-    have few rows each and are shuffled. `rows` is read twice, so it should be a narrow staged table.
+    have few rows each and are shuffled. `rows` is read twice then, so it should be a narrow staged table.
     """
-    least = total // HOT_KEYS
-    hot = keyed.where(F.col(count) > least).drop(count)
-    cold = keyed.where(F.col(count) <= least).drop(count)
-    kept = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(kept.join(cold, key, how))
+    least = max(total // HOT_KEYS, 100)
+    hot = keyed.where(F.col(count) > least)
+    values = [r[0] for r in hot.select(key).collect()]
+    if not values:
+        return rows.join(keyed.drop(count), key, how)
+    is_hot = F.col(key).isin(values)
+    cold = rows.where(~is_hot if how == "inner" else F.coalesce(~is_hot, F.lit(True))).join(keyed.drop(count), key, how)
+    return rows.where(is_hot).join(F.broadcast(hot.drop(count)), key).unionByName(cold)
