@@ -4,8 +4,8 @@ A text's set is its distinct word n-grams. One hash spreads the set over `BINS`
 empty bin takes the value of the first filled bin along its own random sequence (optimal densification). Bands of `ROWS` bins
 make `BINS / ROWS` bucket keys. In a bucket only stars are compared: its best-connected member (it shares most buckets with
 others, which in a family of copies is the original) against the rest, not all pairs. Candidates are confirmed on the full sets.
-Further rounds take the next best members as centres, 4 times as many each round, in the buckets whose members do not yet
-belong to one component, until a round links nothing new.
+Further rounds take the next best member as centre, in the buckets whose members do not yet belong to one component, until
+`IDLE_ROUNDS` rounds in a row link nothing.
 
 Two sets with a similarity of 0.8 share a bucket with probability 1 - (1 - 0.8**6)**32 = 0.99994.
 
@@ -41,7 +41,7 @@ BINS = 192
 ROWS = 6
 SEED = 0x5DEECE66D
 STAR_ROWS = 512
-CENTRES_GROW = 4
+IDLE_ROUNDS = 2
 BATCH_ROWS = 256
 
 _BOUNDS = np.array([(i << 64) // BINS for i in range(BINS + 1)][:-1], np.uint64)
@@ -200,10 +200,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
     ranked = staged(rows.join(involved.select("node", "n_shingles", "degree"), "node"), "ranked")
     total = ranked.count()
     best = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
-    links, labels, first, many = None, None, 1, 1
+    links, labels, turn, idle = None, None, 1, 0
     while True:
-        # The rank limit is applied on the map side too, so a hot bucket sends few rows per task.
-        last = first + many - 1
         open_rows = ranked
         if labels is not None:
             known = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -213,7 +211,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
             )
             several = staged(spans.where("low <> high").select("key", "n"), "open")
             open_rows = staged(join_counted(known, several, "key", "n", total), "open_rows")
-        top = open_rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= last).where(F.col("rank") >= first)
+        # The limit of the rank is applied on the map side too, so a hot bucket sends few rows per task.
+        top = open_rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= turn).where(F.col("rank") == turn)
         columns = ["key", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), "members"]
         if labels is not None:
             top = top.withColumn("label_centre", F.col("label"))
@@ -229,11 +228,15 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
         pairs = pairs.where(100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
         pairs = staged(pairs.select("centre", "node").distinct(), "pairs")
         new = staged(confirmed(pairs, sets, percent), "confirmed")
+        turn += 1
         if new.isEmpty():
-            break
+            idle += 1
+            if idle == IDLE_ROUNDS:
+                break
+            continue
+        idle = 0
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-        first, many = last + 1, many * CENTRES_GROW
     if labels is None:
         return docs.sparkSession.createDataFrame([], "node long, label long")
     return labels
