@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.staging import hash60, staged
 from gleanery.llm.words import affix_hashes
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 BITS = 18
 DIMENSION = 1 << BITS
 PREFIXES = (5, 6)
@@ -95,9 +95,13 @@ class Voters:
         voted = np.nonzero(votes)
         every = np.arange(n)
         return (
-            np.concatenate([rows, every, every, voted[0]]),
-            np.concatenate([buckets, np.full(n, DIMENSION), np.full(n, DIMENSION + 1), DIMENSION + 2 + voted[1]]),
-            np.concatenate([value, np.log1p(kinds), np.minimum(rate * 30, 2), np.full(len(voted[0]), 0.5)]),
+            np.concatenate([rows, every, every, voted[0]], dtype=np.int32, casting="unsafe"),
+            np.concatenate(
+                [buckets, np.full(n, DIMENSION), np.full(n, DIMENSION + 1), DIMENSION + 2 + voted[1]], dtype=np.int32, casting="unsafe"
+            ),
+            np.concatenate(
+                [value, np.log1p(kinds), np.minimum(rate * 30, 2), np.full(len(voted[0]), 0.5)], dtype=np.float32, casting="unsafe"
+            ),
         )
 
 
@@ -196,8 +200,10 @@ def fit_linear(rows: np.ndarray, at: np.ndarray, values: np.ndarray, posterior:
     n = len(posterior)
     seen = np.bincount(at, minlength=WEIGHTS) >= 3
     kept = seen[at]
-    names, at = np.unique(at[kept], return_inverse=True)
-    rows, values = rows[kept], values[kept]
+    names = np.flatnonzero(seen)
+    position = np.zeros(WEIGHTS, np.int32)
+    position[names] = np.arange(len(names))
+    rows, at, values = rows[kept], position[at[kept]], values[kept]
     w, bias, first, second = np.zeros(len(names)), -2.0, np.zeros(len(names)), np.zeros(len(names))
     for step in range(1, steps + 1):
         off = _sigmoid(np.bincount(rows, weights=w[at] * values, minlength=n) + bias) - posterior
@@ -268,9 +274,9 @@ def _collected(sample: DataFrame) -> tuple:
     counts = [np.frombuffer(b, np.uint16) for b in found["counts"].to_pylist()]
     none = [np.zeros(0, np.int32)]
     return (
-        np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]),
-        np.concatenate(buckets or none).astype(np.int64),
-        np.concatenate(counts or none).astype(np.int64),
+        np.repeat(np.arange(len(buckets), dtype=np.int32), [len(b) for b in buckets]),
+        np.concatenate(buckets or none),
+        np.concatenate(counts or none),
         np.array(found["words"].to_pylist(), np.int64),
         np.array(found["shout"].to_pylist(), bool),
         np.array(found["toxic"].to_pylist(), bool),
