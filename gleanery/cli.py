@@ -11,7 +11,6 @@ from gleanery.service import EmptyStoreError, Gleanery
 from gleanery.session import build_session
 from gleanery.sources.pages import html_files
 
-SHOWN_DETAILS = 200
 SHOWN_SOURCES = 8
 
 
@@ -58,10 +57,10 @@ def run_ingest(app: Gleanery, args, out) -> None:
         report = app.ingest(pages, args.force, mode)
     for name, value in app.ingest_status().items():
         print(f"{name}: {value}", file=out)
-    for row in report.details.orderBy("url").limit(SHOWN_DETAILS).collect():
+    for row in report.details.orderBy("url").toLocalIterator():
         print(f"{row['status']:<10} {row['chunks']:>6} {row['tokens']:>8}  {row['url']}", file=out)
     if report.removed_urls is not None:
-        for row in report.removed_urls.orderBy("url").limit(SHOWN_DETAILS).collect():
+        for row in report.removed_urls.orderBy("url").toLocalIterator():
             print(f"removed    {row['url']}", file=out)
 
 

@@ -90,5 +90,5 @@ class Settings:
     @classmethod
     def load(cls, **overrides) -> "Settings":
         """Defaults, plus the key for the optional text generator from the environment."""
-        overrides.setdefault("llm_api_key", os.environ.get("ANTHROPIC_API_KEY"))
+        overrides.setdefault("llm_api_key", os.environ.get("GLEANERY_LLM_KEY"))
         return cls(**overrides)

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from gleanery.functions.tokens import WHITESPACE
 
-EXACT_FINGERPRINT_HASHES = 10_000
+#: Hex digits: 65,536 groups.
+FINGERPRINT_PREFIX = 4
 
 
 def content_hash(text: Column) -> Column:
@@ -41,23 +42,15 @@ def query_key(question: Column, top_k: Column, url_filter: Column) -> Column:
 def content_fingerprint(hashes: DataFrame, column: str = "content_hash") -> DataFrame:
     """One row `fingerprint` that changes when the set of content hashes changes.
 
-    Up to EXACT_FINGERPRINT_HASHES distinct hashes it is the digest of the sorted, joined hashes.
-    Sorting and joining an unbounded set would need one task, so beyond that bound it is the digest
-    of the count and of two independent sums over 60-bit hash prefixes: partial sums on the
-    executors, one small row at the end. Only equality of fingerprints is ever used.
+    The digest of the digests of prefix groups: distinct hashes are grouped by the first FINGERPRINT_PREFIX digits of their
+    SHA-256, each group is sorted and digested by itself, and the groups, at most 16**FINGERPRINT_PREFIX, are sorted and digested
+    again. No task sorts more than its groups, and the rule is the same at every size.
     """
     distinct = hashes.select(F.col(column).alias("h")).where("h IS NOT NULL").distinct()
 
-    def prefix_sum(salt: str) -> Column:
-        word = F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.col("h")), 256), 1, 15), 16, 10)
-        return F.sum(word.cast("decimal(20,0)"))
+    def digest_of(texts: Column) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(texts)), "|"), 256)
 
-    totals = distinct.agg(
-        F.count("*").alias("n"), prefix_sum("a").alias("sum_a"), prefix_sum("b").alias("sum_b")
-    )
-    # Bounded: at most EXACT_FINGERPRINT_HASHES rows of 32 characters reach this aggregate.
-    first = distinct.orderBy("h").limit(EXACT_FINGERPRINT_HASHES)
-    joined = first.agg(F.array_join(F.array_sort(F.collect_list("h")), "|").alias("joined"))
-    summed = F.concat_ws("|", F.col("n").cast("string"), F.col("sum_a").cast("string"), F.col("sum_b").cast("string"))
-    raw = F.when(F.col("n") <= EXACT_FINGERPRINT_HASHES, joined.scalar()).otherwise(summed)
-    return totals.select(F.substring(F.sha2(raw, 256), 1, 16).alias("fingerprint"))
+    groups = distinct.groupBy(F.substring(F.sha2("h", 256), 1, FINGERPRINT_PREFIX).alias("prefix"))
+    inner = groups.agg(digest_of(F.col("h")).alias("digest"))
+    return inner.agg(F.substring(digest_of(F.concat("prefix", "digest")), 1, 16).alias("fingerprint"))

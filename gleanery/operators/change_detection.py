@@ -28,7 +28,8 @@ def orphans(known: list[DataFrame], current: DataFrame, key: str = "url") -> Dat
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of `incoming` take the place of rows with the same key."""
+    """Rows of `incoming` take the place of rows with the same key; one row per key of it."""
+    incoming = incoming.dropDuplicates([key])
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 

@@ -383,8 +383,9 @@ FROM f WHERE trim(text) <> ''""",
 SELECT url, 0 AS pos, trim({_PAGE_HEAD.format('h1')}) AS heading, 1 AS level, md5({_page_text('rest')}) AS content_md5 FROM s""",
     "page_metadata": r"""SELECT url, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)">', 1))) AS link_count, 0 AS table_count,
   1 AS section_count, 200 AS status FROM pages""",
-    "content_fingerprint_of_documents": """SELECT substr(sha256(string_agg(h, '|' ORDER BY h)), 1, 16) AS fingerprint
-FROM (SELECT DISTINCT md5(text) AS h FROM documents)""",
+    "content_fingerprint_of_documents": """SELECT substr(sha256(string_agg(prefix || digest, '|' ORDER BY prefix)), 1, 16) AS fingerprint
+FROM (SELECT substr(sha256(h), 1, 4) AS prefix, sha256(string_agg(h, '|' ORDER BY h)) AS digest
+      FROM (SELECT DISTINCT md5(text) AS h FROM documents) GROUP BY 1)""",
     "change_detection_status": f"""WITH {_HASHED}
 SELECT h.url, h.source_url, e.url IS NULL AS is_new, h.content_hash IS DISTINCT FROM e.content_hash AS has_changed
 FROM hashed h LEFT JOIN earlier e USING (url)""",

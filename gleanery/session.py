@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
 def build_session(app_name: str = "gleanery", master: str | None = None, **conf: str) -> SparkSession:
@@ -87,8 +84,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if cores > 1 and estimated_bytes(df) < split_bytes * cores:
         return df.repartition(cores, key)
     return df
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint only when the estimated size is within `limit`; otherwise AQE decides."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df

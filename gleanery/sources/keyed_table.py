@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "key_bucket"
+#: An empty file whose name ends in the table's number of buckets; readers ignore names that begin with an underscore.
+MARKER = "_buckets-"
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
@@ -27,6 +29,18 @@ class KeyedTable:
         self.schema = T._parse_datatype_string(schema)
         self.sort_by = sort_by
 
+    def _check_buckets(self, write: bool = False) -> None:
+        """The number of buckets is kept beside the data: with another number, keys would be looked for in other buckets."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        kept = [int(name.removeprefix(MARKER)) for name in names if name.startswith(MARKER)]
+        if any(n != self.buckets for n in kept):
+            raise ValueError(f"{self.path} has {kept[0]} buckets, not {self.buckets}: rewrite it under another path to change that")
+        if write and not kept:
+            marker = self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{MARKER}{self.buckets}")
+            files.create(marker).close()
+
     @property
     def columns(self) -> list[str]:
         return self.schema.fieldNames()
@@ -43,6 +57,7 @@ class KeyedTable:
         schema = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
         if not self.exists():
             return self.spark.createDataFrame([], schema).select(*kept)
+        self._check_buckets()
         return self.spark.read.schema(schema).parquet(self.path).where(F.col(self.key).isNotNull()).select(*kept)
 
     def read_key(self, value: str, with_bucket: bool = False) -> DataFrame:
@@ -80,6 +95,7 @@ class KeyedTable:
 
     def write_buckets(self, named: DataFrame, numbers: list[int]) -> None:
         """Swap the content of these buckets for `named`, rows that carry their bucket."""
+        self._check_buckets(write=True)
         blank = self.spark.createDataFrame([(n,) for n in numbers], f"{BUCKET} int")
         whole = named.unionByName(blank, allowMissingColumns=True)
         # Rebalancing by bucket: adaptive execution splits a bucket that one large key dominates and

@@ -420,18 +420,23 @@ def test_change_and_orphans_and_rollup(spark):
     assert sorted(change_detection.upserted(once, incoming, "url").collect()) == sorted(once.collect())
 
 
-def test_fingerprint_is_a_set_digest(spark, monkeypatch):
-    import hashlib
+def test_fingerprint_is_a_set_digest(spark):
+    def fingerprint(*hashes):
+        return content_fingerprint(spark.createDataFrame([(h,) for h in hashes], "content_hash string")).first()[0]
 
-    from gleanery.functions import hashing
+    assert fingerprint("a", "b", "c") == fingerprint("c", "a", "b", "b", None)
+    assert fingerprint("a", "b") != fingerprint("a", "c") and fingerprint("a") != fingerprint("a", "b")
 
-    def of(*hashes):
-        return content_fingerprint(spark.createDataFrame([(h,) for h in hashes], "content_hash string")).first()[0]
 
-    assert of() == "e3b0c44298fc1c14"
-    assert of("b", "a", "b", None) == hashlib.sha256(b"a|b").hexdigest()[:16]
-    monkeypatch.setattr(hashing, "EXACT_FINGERPRINT_HASHES", 1)
-    assert of("b", "a", "b") == of("a", "b") != of("a", "c") != of("a", "b", "c")
+def test_a_store_refuses_another_number_of_buckets(spark, tmp_path):
+    from gleanery.sources.keyed_table import KeyedTable
+
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([(f"u{i}", i) for i in range(30)], "url string, n long")
+    KeyedTable(spark, path, "url string, n long", buckets=16).rewrite(rows)
+    assert KeyedTable(spark, path, "url string, n long", buckets=16).read_key("u3").count() == 1
+    with pytest.raises(ValueError, match="16 buckets"):
+        KeyedTable(spark, path, "url string, n long", buckets=7).read().count()
+
 
 
 def test_digests(spark):
