@@ -46,12 +46,11 @@ PAGE_TYPE = (
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent", "index")
+    __slots__ = ("tag", "attrs", "children", "parent")
 
     def __init__(self, tag: str, attrs: dict, parent: "Element | None") -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
-        self.index = 0
 
     def walk(self):
         """Elements and strings below this one in document order, without recursion."""
@@ -68,21 +67,6 @@ class Element:
     def find_all(self, *tags: str):
         return [e for e in self.walk() if isinstance(e, Element) and e.tag in tags]
 
-    def text(self) -> str:
-        """Stripped, non-empty strings joined by one space."""
-        if self.tag in SILENT:
-            return ""
-        parts, stack = [], [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, str):
-                parts.append(child.strip())
-            elif child.tag not in SILENT:
-                stack.append(iter(child.children))
-        return " ".join(p for p in parts if p)
-
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
@@ -93,7 +77,6 @@ class _Builder(HTMLParser):
         while self.top.tag in IMPLIED_END.get(tag, ()):
             self.top = self.top.parent
         element = Element(tag, dict(reversed(attrs)), self.top)
-        element.index = len(self.top.children)
         self.top.children.append(element)
         if tag not in VOID:
             self.top = element
@@ -159,51 +142,89 @@ def main_text_of(root: Element) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def sections_of(root: Element) -> list[dict]:
-    """Headings in document order. Content is the text of the following sibling elements up to the
-    next sibling heading: bare text between them is not content, and a sibling wrapper counts whole
-    even when it holds headings of its own."""
-    found = []
-    for heading in root.find_all(*HEADINGS):
-        parts = []
-        siblings = heading.parent.children
-        for at in range(heading.index + 1, len(siblings)):
-            sibling = siblings[at]
-            if isinstance(sibling, str):
-                continue
-            if sibling.tag in HEADINGS:
-                break
-            text = sibling.text()
-            if text:
-                parts.append(text)
-        found.append({"heading": heading.text(), "level": int(heading.tag[1]), "content": "\n".join(parts)})
-    return found
-
-
-def tables_of(root: Element) -> list[list[list[str]]]:
-    tables = []
-    for table in root.find_all("table"):
-        rows = [[cell.text() for cell in tr.find_all("th", "td")] for tr in table.find_all("tr")]
-        rows = [row for row in rows if any(row)]
-        if rows:
-            tables.append(rows)
-    return tables
-
-
-def links_of(root: Element, base_url: str) -> list[dict]:
-    """First anchor of every absolute href; one without text still hides later ones."""
-    seen, links = set(), []
-    for anchor in root.find_all("a"):
-        if anchor.attrs.get("href") is None:
-            continue
-        href = urljoin(base_url, anchor.attrs["href"])
-        if href in seen:
-            continue
-        seen.add(href)
-        text = anchor.text()
-        if text and urlparse(href).scheme in ("http", "https"):
-            links.append({"text": text, "href": href})
-    return links
+class Outline:
+    """Headings, tables and links of a page from one pass over its elements.
+
+    Stripped strings outside SILENT elements are gathered in one list, so the text of an element is a slice of it, known when the
+    element closes. Whatever waits for a text is noted when the element opens, which keeps document order.
+    """
+
+    def __init__(self, root: Element, base_url: str) -> None:
+        self.sections: list[dict] = []
+        self._tables: list[list[list[str]]] = []
+        self._links: dict[str, str] = {}
+        self._strings: list[str] = []
+        self._base_url = base_url
+        self._open_tables: list[list] = []
+        self._open_rows: list[list] = []
+        self._pass(root)
+
+    def _pass(self, root: Element) -> None:
+        # Per open element: what is left of its children, its start in the strings, what to do with its text, and the section
+        # that its children contribute to: that of the last heading among them.
+        levels = [[iter(root.children), 0, (), None, root]]
+        while levels:
+            children, start, uses, section, owner = levels[-1]
+            child = next(children, None)
+            if isinstance(child, str):
+                if owner.tag not in SILENT and (stripped := child.strip()):
+                    self._strings.append(stripped)
+            elif child is not None:
+                if child.tag in HEADINGS:
+                    section = {"heading": "", "level": int(child.tag[1]), "content": []}
+                    self.sections.append(section)
+                    levels[-1][3] = section
+                    uses = [lambda text, s=section: s.update(heading=text)]
+                else:
+                    uses = [] if section is None else [lambda text, s=section: s["content"].append(text)]
+                levels.append([iter(child.children), len(self._strings), uses + self._opened(child), None, child])
+            else:
+                levels.pop()
+                text = " ".join(self._strings[start:]) if uses else ""
+                for use in uses:
+                    use(text)
+                if owner.tag == "table":
+                    self._open_tables.pop()
+                elif owner.tag == "tr":
+                    self._open_rows.pop()
+        for section in self.sections:
+            section["content"] = "\n".join(text for text in section["content"] if text)
+
+    def _opened(self, element: Element) -> list:
+        """Takes note of a table, row, cell or link; returns what to do with its text."""
+        if element.tag == "table":
+            self._open_tables.append([])
+            self._tables.append(self._open_tables[-1])
+        elif element.tag == "tr":
+            # Rows and cells of nested tables belong to the outer ones too.
+            self._open_rows.append([])
+            for table in self._open_tables:
+                table.append(self._open_rows[-1])
+        elif element.tag in ("td", "th") and self._open_rows:
+            rows = [(row, len(row)) for row in self._open_rows]
+            for row, _ in rows:
+                row.append("")
+            return [lambda text: [row.__setitem__(at, text) for row, at in rows]]
+        elif element.tag == "a" and element.attrs.get("href") is not None:
+            # The first anchor of a target counts, even one without text.
+            href = urljoin(self._base_url, element.attrs["href"])
+            if href not in self._links:
+                self._links[href] = ""
+                return [lambda text: self._links.__setitem__(href, text)]
+        return []
+
+    @property
+    def tables(self) -> list[list[list[str]]]:
+        filled = ([row for row in table if any(row)] for table in self._tables)
+        return [table for table in filled if table]
+
+    @property
+    def links(self) -> list[dict]:
+        return [
+            {"text": text, "href": href}
+            for href, text in self._links.items()
+            if text and urlparse(href).scheme in ("http", "https")
+        ]
 
 
 def extract(html: str | None, url: str) -> dict | None:
@@ -215,14 +236,15 @@ def extract(html: str | None, url: str) -> dict | None:
     try:
         root = parse(html)
         main = main_text_of(root)
+        outline = Outline(root, url or "")
         return {
             "title": title_of(root),
             "description": description_of(root),
             "main_content": main,
             "content_hash": xxhash.xxh128_hexdigest(main.encode("utf-8")),
-            "sections": sections_of(root),
-            "tables": tables_of(root),
-            "links": links_of(root, url or ""),
+            "sections": outline.sections,
+            "tables": outline.tables,
+            "links": outline.links,
             "error": None,
         }
     except (ValueError, AssertionError, UnicodeError) as problem:

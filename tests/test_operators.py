@@ -17,7 +17,7 @@ from gleanery.functions.vectors import checked_metric
 from gleanery.operators import answers, bm25, change_detection, chunking, fusion, heading_tree, result_cache
 from gleanery.operators import structure, vector_search
 from gleanery.operators.embedding import HashingEmbedder, ModelEmbedder
-from gleanery.session import estimated_bytes, spread
+from gleanery.session import spread
 from gleanery.sources.pages import html_files
 
 
@@ -227,12 +227,12 @@ def test_page_extraction_rules():
     )
     assert html.title_of(root) == "A & B" and html.description_of(root) == "dé"
     assert html.title_of(html.parse("<title>a<b>c</b></title>")) == ""
-    assert html.sections_of(root) == [
+    assert html.Outline(root, "").sections == [
         {"heading": "One bold", "level": 2, "content": "first\nsecond\nwrap In inner"},
         {"heading": "In", "level": 3, "content": "inner"},
         {"heading": "", "level": 4, "content": "after\nfoot\nlate\nmail\nz"},
     ]
-    assert html.links_of(root, "http://h/p/") == [{"text": "z", "href": "http://h/p/z?k#f"}]
+    assert html.Outline(root, "http://h/p/").links == [{"text": "z", "href": "http://h/p/z?k#f"}]
     text = html.main_text_of(root)
     assert "menu" not in text and "foot" not in text and "x()" not in text and text.startswith("One bold\nbare\nfirst\nsecond")
     assert html.extract("<p>x", "http://[bad")["error"] is None
@@ -246,7 +246,7 @@ def test_tables_and_their_markdown(spark):
         "<table><tr><th>h1<th>h2<tr><td> </td></tr><tr><td>1</td></tr><tr><td>2<td>3<td>4</tr></table>"
         "<table><tr><td></td></tr></table><table><tr><td>out<table><tr><td>in</td></tr></table></td></tr></table>"
     )
-    tables = html.tables_of(root)
+    tables = html.Outline(root, "").tables
     # The outer table also sees the rows and cells of the one nested in it.
     assert tables == [[["h1", "h2"], ["1"], ["2", "3", "4"]], [["out in", "in"], ["in"]], [["in"]]]
     df = spark.createDataFrame([(tables,)], "t array<array<array<string>>>")
@@ -299,8 +299,8 @@ def test_adding_up_words_equals_counting_them(seed):
     text = "".join(rng.choice(pieces) for _ in range(900))
 
     class Recount(WordEstimate):
-        def joined(self, left, left_n, sep, right, right_n):
-            return self.measure(left + sep + right)
+        def ruler(self, text):
+            return lambda lo, hi: self.count(text[lo:hi])
 
     settings = ChunkSettings(40, 8, 6)
     assert Splitter(settings).split(text) == Splitter(settings, Recount()).split(text)
@@ -518,7 +518,49 @@ def test_html_files_and_spread(spark, tmp_path):
     rows = html_files(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0]["url"].endswith("a.html") and rows[0]["html"] == "<title>A</title>\n<p>x"
     small = spark.range(10)
-    assert estimated_bytes(small) == 80 and spread(small, "id").rdd.getNumPartitions() <= 4
+    assert spread(small, "id").rdd.getNumPartitions() == small.rdd.getNumPartitions()
+    spark.conf.set("spark.gleanery.inputPartitions", "3")
+    try:
+        assert spread(small, "id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.gleanery.inputPartitions")
+
+
+def test_choice_among_more_trees_than_a_prompt_holds(spark):
+    """The last url is the best of all; it comes first however many prompts there are, and whatever a few of them return."""
+    import json
+    import re
+
+    from gleanery.config import TreeSettings
+    from gleanery.operators import reasoning
+
+    node = ("0001", 0, None, [], "N", "s", "", 1)
+    rows = [(f"u{i:03}", "T", "s", [(*node, [f"c{i:03}"])]) for i in range(120)]
+    trees = spark.createDataFrame(rows, f"url string, title string, summary string, nodes array<{heading_tree.NODE_TYPE}>")
+
+    def last_first(most):
+        def complete(prompt, system=None, max_tokens=0):
+            urls = sorted(re.findall(r"URL: (\S+)", prompt), reverse=True)[:most]
+            return "Here: " + json.dumps([{"url": u, "node_ids": ["0001"]} for u in urls]) + " That is all."
+
+        return complete
+
+    for size, most in ((50, 8), (7, 3), (200, 8)):
+        found = reasoning.chosen_chunks(trees, "q", last_first(most), 8, TreeSettings(trees_per_prompt=size)).orderBy("rank").collect()
+        assert [r["chunk_id"] for r in found] == [f"c{i}" for i in range(119, 119 - most, -1)]
+
+    def fails(prompt, system=None, max_tokens=0):
+        raise RuntimeError("down")
+
+    assert reasoning.chosen_chunks(trees, "zzz", fails, 8).count() == 0
+
+
+def test_later_page_of_a_url_stays(spark):
+    from gleanery.plans.ingestion import latest_pages
+
+    rows = [("u", 1.0, "b"), ("u", 3.0, "a"), ("u", None, "z"), ("v", None, None)]
+    pages = spark.createDataFrame(rows, "url string, fetched_at double, content_hash string")
+    assert sorted(latest_pages(pages).collect()) == [("u", 3.0, "a"), ("v", None, None)]
 
 
 def test_punctuation_is_ascii_only(spark):
