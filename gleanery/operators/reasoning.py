@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,18 +24,15 @@ from gleanery.session import cut_lineage
 Complete = Callable[..., str]
 
 ANSWER_RULES = (
-    "Answer from the numbered sources only. Say so when they do not hold the answer. Cite sources as "
-    "[Source N]. Be structured and clear, compare in tables, and name rates, fees and conditions."
+    "You are given numbered extracts from a document collection. Write a short answer that they support, and put the number of "
+    "the extract behind each statement as [Source N]. If they leave the question open, state what is missing."
 )
 
 
 def json_reply(reply: str):
-    """The JSON of a reply, with or without a Markdown code fence around it."""
-    text = reply.strip()
-    if text.startswith("```"):
-        text = text.partition("\n")[2]
-        text = text.rpartition("```")[0] if text.endswith("```") else text
-    return json.loads(text)
+    """The first JSON object or array of a reply; text and code fences around it do not matter."""
+    start = min((at for at in (reply.find("{"), reply.find("[")) if at >= 0), default=0)
+    return json.JSONDecoder().raw_decode(reply, start)[0]
 
 
 def outline_prompt(page: dict) -> str:
@@ -93,15 +91,12 @@ def chosen_chunks(
 ) -> DataFrame:
     """chunk_id, url, rank as chosen by the generator.
 
-    A prompt holds at most `trees_per_prompt` outlines, in url order, so any number of trees can be
-    asked about; with one prompt's worth of trees the order is that of the one reply. Trees of a
-    failed prompt are ranked by the keyword rules, after the chosen ones.
+    A prompt holds at most `trees_per_prompt` outlines. Trees of which something was chosen go into another round, until one prompt
+    holds them all or a round leaves out none; then choices rank by their place in the reply, and by url between replies. Trees of
+    a failed prompt are ranked by the keyword rules, after the chosen ones.
     """
     size = settings.trees_per_prompt
     outlines = trees.select("url", heading_tree.table_of_contents().alias("outline"))
-    prompts = -(-max(outlines.count(), 1) // size)
-    placed = outlines.repartitionByRange(prompts, "url").sortWithinPartitions("url")
-
     def ask(held: list[dict]) -> list[dict]:
         first = held[0]["url"]
         try:
@@ -127,16 +122,27 @@ def chosen_chunks(
         if held:
             yield pa.RecordBatch.from_pylist(ask(held), schema=schema)
 
-    chosen = cut_lineage(placed.mapInArrow(run, "batch string, at int, url string, node_id string, ordinal int"))
+    n_left, failures = outlines.count(), []
+    while True:
+        prompts = -(-max(n_left, 1) // size)
+        # The hash of the url decides who shares a prompt, so reruns ask the same.
+        placed = outlines.repartition(prompts, "url").sortWithinPartitions("url")
+        chosen = cut_lineage(placed.mapInArrow(run, "batch string, at int, url string, node_id string, ordinal int"))
+        failures.append(chosen.where("node_id IS NULL").select("url"))
+        named = chosen.where("node_id IS NOT NULL").select("url").distinct()
+        outlines = cut_lineage(outlines.join(named, "url", "left_semi"))
+        n_before, n_left = n_left, outlines.count()
+        if prompts == 1 or n_left in (0, n_before):
+            break
     picked = chosen.where("node_id IS NOT NULL").join(trees.select("url", "nodes"), "url")
-    turn = F.struct(F.lit(0).alias("kind"), "batch", "at", "ordinal").alias("turn")
+    turn = F.struct(F.lit(0).alias("kind"), "at", "batch", "ordinal").alias("turn")
     below = heading_tree.subtree_chunk_ids(F.col("nodes"), F.col("node_id"))
     chunks = exploded(picked, below, "chunk_id", ("url", turn), "pos")
-    failed = chosen.where("node_id IS NULL").select("url").distinct()
+    failed = reduce(DataFrame.unionByName, failures).distinct()
     ruled = heading_tree.relevant_chunks(trees.join(failed, "url", "left_semi"), question, max_chunks)
     ruled = ruled.select(
         "url",
-        F.struct(F.lit(1).alias("kind"), F.lit("").alias("batch"), F.col("rank").alias("at"), F.lit(0).alias("ordinal")).alias("turn"),
+        F.struct(F.lit(1).alias("kind"), F.col("rank").alias("at"), F.lit("").alias("batch"), F.lit(0).alias("ordinal")).alias("turn"),
         F.lit(0).alias("pos"),
         "chunk_id",
     )
