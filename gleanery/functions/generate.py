@@ -21,3 +21,8 @@ def exploded(df: DataFrame, array: str | Column, name: str, keep: tuple = (), po
 def inlined(df: DataFrame, array: str | Column, present: str, keep: tuple = ()) -> DataFrame:
     """`keep` columns and the struct fields of every element; field `present` is never null."""
     return df.select(*keep, F.inline_outer(array)).where(F.col(present).isNotNull())
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once per row: a lambda written around an expression evaluates it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

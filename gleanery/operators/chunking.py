@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import ChunkSettings
-from gleanery.functions.generate import inlined
+from gleanery.functions.generate import bound, inlined
 from gleanery.functions.hashing import chunk_id
 from gleanery.functions.splitter import Splitter, split_pieces
 from gleanery.functions.tokens import words
@@ -159,13 +159,16 @@ def word_windows(text: Column, settings: ChunkSettings = ChunkSettings()) -> Col
     """Hard split as an expression: sliding word windows, short ones dropped; array<struct<start, text>>."""
     size, step = settings.chunk_size * 3 // 4, (settings.chunk_size - settings.chunk_overlap) * 3 // 4
     min_words = -(-settings.min_chunk_size * 3 // 4)
-    pieces = words(text)
-    starts = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(step)))
-    windows = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(pieces, i + 1, F.lit(size)).alias("words")))
-    return F.transform(
-        F.filter(windows, lambda w: F.size(w["words"]) >= min_words),
-        lambda w: F.struct(w["start"].alias("start"), F.array_join(w["words"], " ").alias("text")),
-    )
+
+    def windows(pieces: Column) -> Column:
+        starts = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(step)))
+        cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(pieces, i + 1, F.lit(size)).alias("words")))
+        return F.transform(
+            F.filter(cut, lambda w: F.size(w["words"]) >= min_words),
+            lambda w: F.struct(w["start"].alias("start"), F.array_join(w["words"], " ").alias("text")),
+        )
+
+    return bound(words(text), windows)
 
 
 def with_overlap(pieces: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
@@ -174,9 +177,13 @@ def with_overlap(pieces: Column, settings: ChunkSettings = ChunkSettings()) -> C
     keep = settings.chunk_overlap * 3 // 4
 
     def tail(piece: Column) -> Column:
-        cut = words(piece)
-        return F.array_join(F.slice(cut, F.greatest(F.size(cut) - keep, F.lit(0)) + 1, F.lit(keep)), " ")
+        return bound(
+            words(piece),
+            lambda cut: F.array_join(F.slice(cut, F.greatest(F.size(cut) - keep, F.lit(0)) + 1, F.lit(keep)), " "),
+        )
 
-    return F.transform(
-        pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(tail(F.get(pieces, i - 1)), F.lit(" "), p))
-    )
+    def joined(held: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(None).cast("string")), held), F.lit(1), F.size(held))
+        return F.zip_with(held, before, lambda p, b: F.when(b.isNull(), p).otherwise(F.concat(tail(b), F.lit(" "), p)))
+
+    return bound(pieces, joined)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import TreeSettings
-from gleanery.functions.generate import exploded, inlined
+from gleanery.functions.generate import bound, exploded, inlined
 from gleanery.functions.tokens import words
 
 NODE_TYPE = (
@@ -36,8 +36,8 @@ def tree_nodes(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> Data
     """
     heading = lambda c: F.coalesce(c["section_heading"], F.lit(UNTITLED))
     names = F.transform("sections", lambda s: s["heading"])
-    left_over = F.transform(
-        F.filter("chunks", lambda c: ~F.array_contains(names, heading(c))), lambda c: c["chunk_id"]
+    left_over = bound(
+        names, lambda held: F.transform(F.filter("chunks", lambda c: ~F.array_contains(held, heading(c))), lambda c: c["chunk_id"])
     )
 
     def node(s: Column, i: Column) -> Column:
@@ -91,11 +91,12 @@ def subtree_chunk_ids(nodes: Column, wanted: str | Column | None = None) -> Colu
     if wanted is None:
         return F.flatten(F.transform(nodes, lambda n: n["chunk_ids"]))
     wanted = F.lit(wanted) if isinstance(wanted, str) else wanted
-    root = F.get(F.filter(nodes, lambda n: n["node_id"] == wanted), F.lit(0))["pos"]
-    below = F.filter(nodes, lambda n: (n["pos"] == root) | F.array_contains(n["ancestors"], root))
-    return F.when(
-        root.isNotNull(), F.flatten(F.transform(below, lambda n: n["chunk_ids"]))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def below(root: Column) -> Column:
+        found = F.filter(nodes, lambda n: (n["pos"] == root) | F.array_contains(n["ancestors"], root))
+        return F.when(root.isNotNull(), F.flatten(F.transform(found, lambda n: n["chunk_ids"]))).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.get(F.filter(nodes, lambda n: n["node_id"] == wanted), F.lit(0))["pos"], below)
 
 
 def table_of_contents(indent: int = 0) -> Column:

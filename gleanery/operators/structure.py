@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.generate import bound
 from gleanery.functions.html import extracted
 from gleanery.functions.tokens import WHITESPACE
 
@@ -58,13 +59,15 @@ def table_markdown(table: Column) -> Column:
     def line(cells: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    width = F.size(F.get(table, F.lit(0)))
-    rule = line(F.array_repeat(F.lit("---"), width))
-    body = F.transform(
-        F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0))),
-        lambda row: line(F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)),
-    )
-    return F.array_join(F.concat(F.array(line(F.get(table, F.lit(0))), rule), body), "\n")
+    def rows(held: Column, width: Column) -> Column:
+        rule = line(F.array_repeat(F.lit("---"), width))
+        body = F.transform(
+            F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0))),
+            lambda row: line(F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)),
+        )
+        return F.array_join(F.concat(F.array(line(F.get(held, F.lit(0))), rule), body), "\n")
+
+    return bound(table, lambda held: bound(F.size(F.get(held, F.lit(0))), lambda width: rows(held, width)))
 
 
 def tables_markdown(tables: Column) -> Column:
