@@ -30,12 +30,18 @@ class IngestionReport:
     removed_urls: DataFrame | None = field(default=None, repr=False)
 
 
+def latest_pages(pages: DataFrame) -> DataFrame:
+    """One page per url: that fetched last; of equal times the larger content hash. Unknown times and hashes come first."""
+    turn = F.struct(F.coalesce("fetched_at", F.lit(float("-inf"))), F.coalesce("content_hash", F.lit("")))
+    return pages.groupBy("url").agg(F.max_by(F.struct(*pages.columns), turn).alias("page")).select("page.*")
+
+
 def classify(pages: DataFrame, store: Store, force: bool) -> DataFrame:
     """Extracted pages, one per url, with an `outcome`: processed (so far), cached or failed, and an `error`."""
     s = store.settings
     # Extraction comes before the first exchange, which therefore carries extracted text and no
     # html. One exchange by url serves both the removal of repeats and the join with the state.
-    extracted = structure.extract_pages(as_pages(spread(pages, "url"))).dropDuplicates(["url"])
+    extracted = latest_pages(structure.extract_pages(as_pages(spread(pages, "url"))))
     compared = change_detection.with_change(extracted, store.url_state.read())
     unreachable = "cached" if s.report_unreachable_as_cached and not force else "failed"
     status = (

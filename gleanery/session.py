@@ -1,4 +1,4 @@
-"""Session helpers: building a session, checkpointing, and decisions that need a checked size."""
+"""Session helpers: building a session, checkpointing, and the partitions of inputs."""
 
 from __future__ import annotations
 
@@ -66,21 +66,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (an upper-leaning one; file sizes for plain scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on inputs too small to have one file split per core.
+    """Inputs in as many partitions as the session's `spark.gleanery.inputPartitions` asks for; as scanned where it is unset.
 
-    A file with one row group is read by one task however many cores there are. When the whole
-    input is smaller than one split per core, a hash exchange on `key` is cheap and lets the
-    expensive expressions above it run everywhere. Larger inputs are left as scanned: their own
-    splits already fill the cluster and their text must not be shuffled.
+    A file with one row group is read by one task however many cores there are. Whoever runs on such files sets the number;
+    the plan depends on the setting only, never on the size of the input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    split_bytes = int(df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes())
-    if cores > 1 and estimated_bytes(df) < split_bytes * cores:
-        return df.repartition(cores, key)
-    return df
+    wanted = df.sparkSession.conf.get("spark.gleanery.inputPartitions", None)
+    return df.repartition(int(wanted), key) if wanted else df
