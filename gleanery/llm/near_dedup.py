@@ -4,8 +4,9 @@ A text's set is its distinct word n-grams. One hash spreads the set over `BINS`
 empty bin takes the value of the first filled bin along its own random sequence (optimal densification). Bands of `ROWS` bins
 make `BINS / ROWS` bucket keys. In a bucket only stars are compared: its best-connected member (it shares most buckets with
 others, which in a family of copies is the original) against the rest, not all pairs. Candidates are confirmed on the full sets.
-Further rounds take the next best member as centre, in the buckets whose members do not yet belong to one component, until
-`IDLE_ROUNDS` rounds in a row link nothing.
+Further rounds take the next best members as centres (one, two, four, at most `MOST_CENTRES` a round), in the buckets whose
+members do not yet belong to one component, until every bucket is one component or has had all its members as centres. So no
+link between two members of a bucket is lost; a large bucket of unlike members costs up to its pairs between components.
 
 Two sets with a similarity of 0.8 share a bucket with probability 1 - (1 - 0.8**6)**32 = 0.99994.
 
@@ -41,7 +42,7 @@ BINS = 192
 ROWS = 6
 SEED = 0x5DEECE66D
 STAR_ROWS = 512
-IDLE_ROUNDS = 2
+MOST_CENTRES = 64
 BATCH_ROWS = 256
 
 _BOUNDS = np.array([(i << 64) // BINS for i in range(BINS + 1)][:-1], np.uint64)
@@ -199,49 +200,42 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
     sets = node_sets(docs, involved, n)
     ranked = staged(rows.join(involved.select("node", "n_shingles", "degree"), "node"), "ranked")
     total = ranked.count()
-    best = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
-    links, labels, turn, idle = None, None, 1, 0
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
+    # A member is compared with the centres before it in the order of its bucket: those after it were or will be compared with it.
+    later = (F.col("degree") < F.col("degree_centre")) | ((F.col("degree") == F.col("degree_centre")) & (F.col("node") > F.col("centre")))
+    links, labels, open_rows = None, None, ranked.withColumn("label", F.col("node"))
+    done, width = 0, 1
     while True:
-        open_rows = ranked
-        if labels is not None:
-            known = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            known = staged(known, "labelled")
-            spans = known.groupBy("key").agg(
-                F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n")
-            )
-            several = staged(spans.where("low <> high").select("key", "n"), "open")
-            open_rows = staged(join_counted(known, several, "key", "n", total), "open_rows")
         # The limit of the rank is applied on the map side too, so a hot bucket sends few rows per task.
-        top = open_rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= turn).where(F.col("rank") == turn)
-        columns = ["key", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), "members"]
-        if labels is not None:
-            top = top.withColumn("label_centre", F.col("label"))
-            columns.append("label_centre")
-        centres = staged(top.select(*columns), "centres")
+        top = open_rows.withColumn("rank", place).where((F.col("rank") <= done + width) & (F.col("rank") > done))
+        top = top.where("rank < members")
+        columns = [F.col(c).alias(f"{c}_centre") for c in ("n_shingles", "degree", "label")]
+        centres = staged(top.select("key", F.col("node").alias("centre"), *columns, "members"), "centres")
         if centres.isEmpty():
             break
-        pairs = _with_centres(open_rows.drop("members"), centres, total)
-        pairs = pairs.where("node <> centre")
-        if labels is not None:
-            pairs = pairs.where("label <> label_centre")
+        pairs = _with_centres(open_rows.drop("members"), centres, total).where(later & (F.col("label") != F.col("label_centre")))
         # Sets that differ too much in size can't be similar enough.
-        pairs = pairs.where(100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
-        pairs = staged(pairs.select("centre", "node").distinct(), "pairs")
+        small, large = F.least("n_shingles", "n_shingles_centre"), F.greatest("n_shingles", "n_shingles_centre")
+        pairs = staged(pairs.where(100 * small >= percent * large).select("centre", "node").distinct(), "pairs")
         new = staged(confirmed(pairs, sets, percent), "confirmed")
-        turn += 1
-        if new.isEmpty():
-            idle += 1
-            if idle == IDLE_ROUNDS:
-                break
-            continue
-        idle = 0
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        done, width = done + width, min(2 * width, MOST_CENTRES)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+            open_rows = _open_rows(ranked, labels, total)
     if labels is None:
         return docs.sparkSession.createDataFrame([], "node long, label long")
     return labels
 
 
+def _open_rows(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """`rows` of the buckets whose members do not yet belong to one component, with their `label`."""
+    known = staged(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    spans = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"))
+    several = staged(spans.where("low <> high").select("key", "n"), "open")
+    return staged(join_counted(known, several, "key", "n", total), "open_rows")
+
+
 def _with_centres(rows: DataFrame, centres: DataFrame, total: int) -> DataFrame:
     """Every row of a bucket beside each of the bucket's centres of this round. Hot buckets' centres are broadcast."""
     per_key = centres.groupBy("key").agg(
