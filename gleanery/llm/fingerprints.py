@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.near_dedup import bucket_rows, confirmed, node_sets, set_digest, text_sets
-from gleanery.llm.staging import join_counted, staged
+from gleanery.llm.near_dedup import bucket_links, set_digest, text_sets
+from gleanery.llm.staging import staged
 from gleanery.llm.words import mix64, shingle_hashes, word_hashes
 
 PERMUTATIONS = 64
@@ -212,20 +212,16 @@ def _bands(values: np.ndarray) -> bytes:
 
 
 def near_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between different sets, each named by the smallest doc_id that has it; b's set is like a's.
+    """a, b: verified links between different sets, each named by the smallest doc_id that has it.
 
-    A bucket's smallest document is compared with all others of the bucket; which is verified on the full sets.
+    They connect all members of common buckets that are connected by likeness; pairs that are connected already are not listed.
     """
     rows = staged(fingerprint_rows(docs, n).where("digest is not null"), "fingerprints")
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    buckets = bucket_rows(nodes, PERMUTATIONS // BAND_ROWS)
-    firsts = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
-    pairs = join_counted(buckets.select("node", "key"), staged(firsts, "firsts"), "key", "n", buckets.count())
-    pairs = staged(pairs.where("node <> centre").select("centre", "node").distinct(), "pairs")
-    ends = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
-    sets = node_sets(docs, nodes.join(ends, "node").select("node", "digest", "doc_id"), n)
-    links = confirmed(pairs, sets, percent)
+    links, _ = bucket_links(docs, nodes, n, percent, PERMUTATIONS // BAND_ROWS)
+    if links is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
     named = nodes.select("node", "doc_id")
     return (
         links.join(named.select(F.col("node").alias("a"), F.col("doc_id").alias("a_id")), "a")

@@ -4,16 +4,17 @@ A text's set is its distinct word n-grams. One hash spreads the set over `BINS`
 empty bin takes the value of the first filled bin along its own random sequence (optimal densification). Bands of `ROWS` bins
 make `BINS / ROWS` bucket keys. In a bucket only stars are compared: its best-connected member (it shares most buckets with
 others, which in a family of copies is the original) against the rest, not all pairs. Candidates are confirmed on the full sets.
-Further rounds take the next best members as centres (one, two, four, at most `MOST_CENTRES` a round), in the buckets whose
-members do not yet belong to one component, until every bucket is one component or has had all its members as centres. So no
-link between two members of a bucket is lost; a large bucket of unlike members costs up to its pairs between components.
+Up to `STARS` rounds take one centre per bucket whose members do not yet belong to one component, outside its largest component.
+What the stars leave outside the largest component of its bucket, usually few members, is a query set: packed into blocks of
+about `BLOCK_SHINGLES`, it meets every member of its buckets once per block, in an index over the block's shingles. Of two
+members of a bucket in different components at least one is in that query set, so no link between members of a bucket is lost.
 
 Two sets with a similarity of 0.8 share a bucket with probability 1 - (1 - 0.8**6)**32 = 0.99994.
 
 Scale: texts with equal sets are one node from the start, so a third of all rows may be copies. Bucket rows are 16 bytes; buckets
 of one are dropped by counts that combine on the map side, hot buckets find their centre by a bounded broadcast. Sets are made
-only for nodes in a bucket with others. A centre's members are dealt to tasks by `STAR_ROWS`, which stream over them and hold
-one centre's set. Components are tables (`components`); nothing but counts comes to the driver.
+only for nodes in a bucket with others. The members of a centre or block are dealt to tasks by `STAR_ROWS`, which stream over them
+and hold one block's sets. Pairs exist only as counts within a block, never as rows. Components are tables (`components`); nothing but counts comes to the driver.
 
 Defined results: null and empty texts have no set and link with nothing. Texts with fewer words than n have one shingle, the
 whole sequence. Rows with equal doc_id and different texts are nodes of their own; rows that repeat doc_id and text are all
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from gleanery.llm.components import components
 from gleanery.llm.staging import join_counted, staged
@@ -42,7 +42,8 @@ BINS = 192
 ROWS = 6
 SEED = 0x5DEECE66D
 STAR_ROWS = 512
-MOST_CENTRES = 64
+STARS = 3
+BLOCK_SHINGLES = 1 << 18
 BATCH_ROWS = 256
 
 _BOUNDS = np.array([(i << 64) // BINS for i in range(BINS + 1)][:-1], np.uint64)
@@ -155,21 +156,50 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return staged(found.select("node", "digest", "text").mapInArrow(run, "node long, set binary"), "sets")
 
 
+class _Block:
+    """Sets of some nodes and an index from each of their shingles to the nodes that have it."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.first = None
+
+    def add(self, node: int, values: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.sets.append(values)
+
+    def similar(self, values: np.ndarray, percent: int) -> list[int]:
+        """The nodes whose set is similar enough to `values`."""
+        if self.first is None:
+            every = np.concatenate(self.sets)
+            order = np.argsort(every, kind="stable")
+            self.lengths = np.array([len(s) for s in self.sets])
+            self.owners = np.repeat(np.arange(len(self.sets)), self.lengths)[order]
+            self.values, self.first = np.unique(every[order], return_index=True)
+            self.counts = np.diff(np.r_[self.first, len(every)])
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        at = at[self.values[at] == values]
+        sizes = self.counts[at]
+        # The positions of all owners of the shared shingles, one run per shingle.
+        runs = np.repeat(self.first[at] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(at) else at
+        same = np.bincount(self.owners[runs], minlength=len(self.sets))
+        return [self.nodes[i] for i in np.flatnonzero(100 * same >= percent * (self.lengths + len(values) - same))]
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, np.zeros(0, np.uint64)
+        at, block = None, _Block()
         for batch in batches:
-            centres, nodes = batch.column("centre").to_pylist(), batch.column("node").to_pylist()
+            groups = zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "is_member", "node")), strict=True)
             sets, found = batch.column("set"), []
-            for i, (c, node) in enumerate(zip(centres, nodes, strict=True)):
+            for i, (number, salt, is_member, node) in enumerate(groups):
+                if at != (number, salt):
+                    at, block = (number, salt), _Block()
                 values = np.frombuffer(sets[i].as_buffer(), np.uint64)
-                if c == node:
-                    centre, own = c, values.copy()
-                elif c == centre:
-                    at = np.searchsorted(own, values)
-                    same = int((own[np.minimum(at, len(own) - 1)] == values).sum())
-                    if 100 * same >= percent * (len(own) + len(values) - same):
-                        found.append((c, node))
+                if is_member:
+                    found += [(c, node) for c in block.similar(values, percent) if c != node]
+                else:
+                    block.add(node, values.copy())
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -177,72 +207,99 @@ def _compare(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b of the distinct pairs (centre, node) whose full sets are similar enough."""
-    counts = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
-    salts = counts.select("centre", F.ceil(F.col("n") / STAR_ROWS).cast("int").alias("salts"), "n")
-    members = pairs.join(salts.drop("n"), "centre").select(
-        "centre", "node", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
+def confirmed(centres: DataFrame, members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b of the centres and members of a block (block, node of both, distinct) whose full sets are similar enough."""
+    held = centres.groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+    # The copies of a block's centres are at most as many as its members.
+    salts = members.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(held, "block")
+    salts = salts.select("block", F.ceil(F.col("n") / F.greatest("held", F.lit(STAR_ROWS))).cast("int").alias("salts"))
+    salts = staged(salts, "salts")
+    asked = members.join(salts, "block").select(
+        "block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("is_member"), "node"
+    )
+    copies = centres.join(salts, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_member"), "node"
     )
-    centres = salts.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asked = members.unionByName(centres).hint("merge").join(sets, "node")
-    dealt = asked.withColumn("is_member", F.col("centre") != F.col("node")).repartition("centre", "salt")
-    dealt = dealt.sortWithinPartitions("centre", "salt", "is_member").select("centre", "node", "set")
+    dealt = asked.unionByName(copies).hint("merge").join(sets, "node").repartition("block", "salt")
+    dealt = dealt.sortWithinPartitions("block", "salt", "is_member").select("block", "salt", "is_member", "node", "set")
     return dealt.mapInArrow(_compare(percent), "a long, b long")
 
 
-def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, label of every node with a link: the smallest node of its component."""
-    rows = bucket_rows(nodes)
+def bucket_links(
+    docs: DataFrame, nodes: DataFrame, n: int, percent: int, bands: int = BINS // ROWS
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """a, b: confirmed links, enough to connect all members of buckets that links connect; and node, label (the smallest
+    node of its component) of every node with a link. None without links."""
+    rows = bucket_rows(nodes, bands)
     degree = rows.groupBy("node").agg(F.sum("members").alias("degree"))
     involved = nodes.join(degree, "node").select("node", "n_shingles", "digest", "doc_id", "degree")
     involved = staged(involved, "involved")
     sets = node_sets(docs, involved, n)
     ranked = staged(rows.join(involved.select("node", "n_shingles", "degree"), "node"), "ranked")
     total = ranked.count()
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-    # A member is compared with the centres before it in the order of its bucket: those after it were or will be compared with it.
-    later = (F.col("degree") < F.col("degree_centre")) | ((F.col("degree") == F.col("degree_centre")) & (F.col("node") > F.col("centre")))
-    links, labels, open_rows = None, None, ranked.withColumn("label", F.col("node"))
-    done, width = 0, 1
-    while True:
-        # The limit of the rank is applied on the map side too, so a hot bucket sends few rows per task.
-        top = open_rows.withColumn("rank", place).where((F.col("rank") <= done + width) & (F.col("rank") > done))
-        top = top.where("rank < members")
-        columns = [F.col(c).alias(f"{c}_centre") for c in ("n_shingles", "degree", "label")]
-        centres = staged(top.select("key", F.col("node").alias("centre"), *columns, "members"), "centres")
-        if centres.isEmpty():
-            break
-        pairs = _with_centres(open_rows.drop("members"), centres, total).where(later & (F.col("label") != F.col("label_centre")))
-        # Sets that differ too much in size can't be similar enough.
-        small, large = F.least("n_shingles", "n_shingles_centre"), F.greatest("n_shingles", "n_shingles_centre")
-        pairs = staged(pairs.where(100 * small >= percent * large).select("centre", "node").distinct(), "pairs")
-        new = staged(confirmed(pairs, sets, percent), "confirmed")
-        done, width = done + width, min(2 * width, MOST_CENTRES)
+    links, labels = None, None
+    # Before the first round no member is in the largest component.
+    open_rows = ranked.withColumn("label", F.col("node")).withColumn("outside", F.lit(True))
+    for star in range(STARS):
+        new = staged(confirmed(*_stars(open_rows, total, percent), sets, percent), "confirmed")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = components(links)
-            open_rows = _open_rows(ranked, labels, total)
-    if labels is None:
-        return docs.sparkSession.createDataFrame([], "node long, label long")
-    return labels
-
-
-def _open_rows(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-    """`rows` of the buckets whose members do not yet belong to one component, with their `label`."""
-    known = staged(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    spans = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"))
-    several = staged(spans.where("low <> high").select("key", "n"), "open")
-    return staged(join_counted(known, several, "key", "n", total), "open_rows")
-
-
-def _with_centres(rows: DataFrame, centres: DataFrame, total: int) -> DataFrame:
-    """Every row of a bucket beside each of the bucket's centres of this round. Hot buckets' centres are broadcast."""
-    per_key = centres.groupBy("key").agg(
-        F.max("members").alias("n"), F.collect_list(F.struct(*[c for c in centres.columns if c not in ("key", "members")])).alias("c")
-    )
-    joined = join_counted(rows, per_key, "key", "n", total)
-    return joined.select(*rows.columns, F.inline("c"))
+        elif star:
+            break
+        known = ranked.withColumn("label", F.col("node")) if labels is None else _labelled(ranked, labels)
+        open_rows = _open_rows(known, total)
+        if open_rows.isEmpty():
+            return links, labels
+    new = staged(confirmed(*_blocks(open_rows, total), sets, percent), "confirmed")
+    if not new.isEmpty():
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+    return links, labels
+
+
+def _stars(rows: DataFrame, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of each bucket the best-connected member outside its largest component as a block, and the members it is compared with."""
+    best = F.max(F.when(F.col("outside"), F.struct("degree", (-F.col("node")).alias("order"), "n_shingles", "label")))
+    per_key = rows.groupBy("key").agg(best.alias("centre"), F.max("members").alias("n")).where("centre is not null")
+    joined = join_counted(rows, staged(per_key, "centres"), "key", "n", total).withColumn("block", -F.col("centre.order"))
+    joined = joined.where((F.col("block") != F.col("node")) & (F.col("label") != F.col("centre.label")))
+    # Sets that differ too much in size can't be similar enough.
+    small, large = F.least("n_shingles", "centre.n_shingles"), F.greatest("n_shingles", "centre.n_shingles")
+    members = staged(joined.where(100 * small >= percent * large).select("block", "node").distinct(), "members")
+    return members.select("block", F.col("block").alias("node")).distinct(), members
+
+
+def _blocks(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """All members outside the largest component of a bucket, in blocks, and every member of their buckets once per block."""
+    asking = rows.where("outside").select("key", "node", "n_shingles", "members")
+    # Nodes with the same largest bucket go to the same blocks, whatever other buckets they share.
+    home = asking.groupBy("node").agg(F.max(F.struct("members", "key")).alias("home"), F.first("n_shingles").alias("n_shingles"))
+    home = staged(home.select("node", F.col("home.key").alias("home"), F.col("home.members").alias("n"), "n_shingles"), "homes")
+    sizes = home.groupBy("home").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"), F.max("n").alias("n"))
+    placed = join_counted(home.drop("n"), staged(sizes, "block_counts"), "home", "n", total)
+    centres = placed.select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    centres = staged(centres, "block_centres")
+    asked = asking.select("key", "node", "members").join(centres, "node")
+    per_key = asked.groupBy("key", "block").agg(F.max("members").alias("n"))
+    per_key = staged(per_key.groupBy("key").agg(F.collect_list("block").alias("blocks"), F.max("n").alias("n")), "asked_keys")
+    joined = join_counted(rows.select("key", "node"), per_key, "key", "n", total)
+    members = joined.select(F.explode("blocks").alias("block"), "node").distinct()
+    return centres, staged(members, "members")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return staged(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+
+def _open_rows(known: DataFrame, total: int) -> DataFrame:
+    """Rows of the buckets with members of several components, and whether a row is `outside` its bucket's largest component."""
+    parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "label")).getField("label").alias("largest")
+    spans = parts.groupBy("key").agg(largest, F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
+    several = staged(spans.where("parts > 1").select("key", "largest", "n"), "open")
+    joined = join_counted(known.drop("outside"), several, "key", "n", total)
+    return staged(joined.withColumn("outside", F.col("label") != F.col("largest")).drop("largest"), "open_rows")
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -252,9 +309,12 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Da
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = linked_nodes(docs, nodes, n, percent)
-    named = nodes.select("node", "digest", "doc_id", "n_rows").join(labels, "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
+    _, labels = bucket_links(docs, nodes, n, percent)
+    named = nodes.select("node", "digest", "doc_id", "n_rows")
+    if labels is None:
+        named = named.withColumn("label", F.col("node"))
+    else:
+        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = staged(named.join(smallest, "label").select("digest", "n_rows", "component_id"), "named")
     total = rows.count()

@@ -140,6 +140,34 @@ def test_near_groups_against_brute_force(spark, odd, n):
     assert Counter(tuple(r) for r in got.collect()) == Counter(brute_components(docs.collect(), n))
 
 
+def test_near_groups_of_drifting_copies(spark):
+    """Each copy is like its neighbours but not like the best-connected one, so that stars alone lose links."""
+    rng = random.Random(31)
+    rows, number = [], 0
+    for _ in range(3):
+        words = sentence(rng, 200).split(" ")
+        for _ in range(30):
+            number += 1
+            for at in rng.sample(range(200), 4):
+                words[at] = rng.choice(VOCABULARY) + "q"
+            rows.append((number, " ".join(words), None, None, None))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = near_dedup.near_groups(docs, n=2).select("doc_id", "n_shingles", "component_id")
+    assert Counter(tuple(r) for r in got.collect()) == Counter(brute_components(docs.collect(), 2))
+
+
+def test_block_finds_every_similar_set():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    block = near_dedup._Block()
+    for i, values in enumerate(sets):
+        block.add(i, values)
+    for values in [*sets, np.array([1000], np.uint64)]:
+        near = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, values)) >= 60 * len(np.union1d(s, values))]
+        assert block.similar(values, 60) == near
+
+
 def test_near_copies_are_dropped_once(odd):
     kept = near_dedup.drop_near_copies(odd)
     assert kept.columns == odd.columns
