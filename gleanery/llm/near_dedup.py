@@ -272,12 +272,12 @@ def _stars(rows: DataFrame, total: int, percent: int) -> tuple[DataFrame, DataFr
 
 def _blocks(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """All members outside the largest component of a bucket, in blocks, and every member of their buckets once per block."""
-    asking = rows.where("outside").select("key", "node", "n_shingles", "members")
-    # Nodes with the same largest bucket go to the same blocks, whatever other buckets they share.
-    home = asking.groupBy("node").agg(F.max(F.struct("members", "key")).alias("home"), F.first("n_shingles").alias("n_shingles"))
-    home = staged(home.select("node", F.col("home.key").alias("home"), F.col("home.members").alias("n"), "n_shingles"), "homes")
-    sizes = home.groupBy("home").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"), F.max("n").alias("n"))
-    placed = join_counted(home.drop("n"), staged(sizes, "block_counts"), "home", "n", total)
+    asking = rows.where("outside").select("key", "node", "n_shingles", "members", "largest")
+    # Nodes beside the same component go to the same blocks: the buckets of a family meet few blocks.
+    home = asking.groupBy("node").agg(F.max(F.struct("members", "largest")).alias("home"), F.first("n_shingles").alias("n_shingles"))
+    home = staged(home.select("node", F.col("home.largest").alias("home"), "n_shingles"), "homes")
+    sizes = home.groupBy("home").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    placed = join_counted(home, staged(sizes, "block_counts"), "home", "n", total)
     centres = placed.select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
     centres = staged(centres, "block_centres")
     asked = asking.select("key", "node", "members").join(centres, "node")
@@ -293,13 +293,13 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_rows(known: DataFrame, total: int) -> DataFrame:
-    """Rows of the buckets with members of several components, and whether a row is `outside` its bucket's largest component."""
+    """Rows of the buckets with members of several components, and whether a row is `outside` its bucket's `largest` component."""
     parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = F.max(F.struct("n", "label")).getField("label").alias("largest")
     spans = parts.groupBy("key").agg(largest, F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
     several = staged(spans.where("parts > 1").select("key", "largest", "n"), "open")
     joined = join_counted(known.drop("outside"), several, "key", "n", total)
-    return staged(joined.withColumn("outside", F.col("label") != F.col("largest")).drop("largest"), "open_rows")
+    return staged(joined.withColumn("outside", F.col("label") != F.col("largest")), "open_rows")
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
