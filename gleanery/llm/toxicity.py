@@ -9,9 +9,10 @@
 4. The posteriors of the training rows (scaled to their labels, and the label itself as one more voter) train a logistic
    regression on hashed word features and votes, which scores every document.
 
-Scale: two passes over the texts, no shuffle of texts. The lexicon and the classifier are fitted on at most `TRAIN_ROWS` labelled
-rows, chosen by hash; the votes' moments cover all documents and are summed per task (voters x voters numbers). The model is
-`DIMENSION` weights.
+Scale: three passes over the texts. The lexicon's word statistics cover all labelled rows outside the held-out fold: texts of that
+fold's complement meet their labels (a shuffle of those texts unless the labels are few), and counts are summed per task (at most
+`DIMENSION` numbers of each kind). The classifier is fitted on at most `TRAIN_ROWS` of these rows, chosen by hash, in blocks of
+rows; the votes' moments cover all documents and are summed per task (voters x voters numbers). The model is `DIMENSION` weights.
 
 Defined results: null and empty texts have no words, and get the score of that. Without training rows of both kinds every score is
 the share of toxic ones among them, 0 where there are none. A doc_id with several labels counts as toxic if most say so. Rows
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.staging import hash60, staged
 from gleanery.llm.words import affix_hashes
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 8000
 BITS = 18
 DIMENSION = 1 << BITS
 PREFIXES = (5, 6)
@@ -42,6 +43,8 @@ THRESHOLD = 0.7
 LABEL_ACCURACY = 0.97
 CORRELATED = 0.15
 PIECE_ROWS = 256
+#: Training rows worked off at once on the driver.
+BLOCK_ROWS = 512
 #: Common insults.
 INSULTS = (
     "bastard", "bitch", "clown", "cretin", "disgusting", "dumb", "filth", "fool", "freak", "garbage", "idiot", "imbecile", "jerk",
@@ -117,11 +120,11 @@ def shouting(column: pa.Array) -> np.ndarray:
     return (capitals > small) | (marks * 20 > capitals + small)
 
 
-def choose_lexicon(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The group of every bucket: the clearest LEXICON buckets of toxic rows, dealt in turn; -1 for the others."""
-    with_it = np.bincount(buckets[toxic[rows]], minlength=DIMENSION)
-    without = np.bincount(buckets[~toxic[rows]], minlength=DIMENSION)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+def choose_lexicon(with_it: np.ndarray, without: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The group of every bucket: the clearest LEXICON buckets of toxic rows, dealt in turn; -1 for the others.
+
+    with_it, without: toxic and clean rows that have the bucket; n1, n0: all toxic and clean rows.
+    """
     odds = np.log((with_it + 0.1) / (n1 + 0.2)) - np.log((without + 0.1) / (n0 + 0.2))
     share = (with_it + without + 1) / (n1 + n0)
     clear = (with_it / n1 - without / n0) / np.sqrt(share * (1 / n1 + 1 / n0))
@@ -195,22 +198,31 @@ def scaled_posterior(odds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return _sigmoid(slope * odds + shift + label)
 
 
-def fit_linear(rows: np.ndarray, at: np.ndarray, values: np.ndarray, posterior: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by full-batch gradient steps with per-weight scaling."""
+def fit_linear(blocks: list[tuple], posterior: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, by full-batch gradient steps with per-weight scaling.
+
+    blocks: of rows in order, each with its rows counted from 0, weights' positions and values.
+    """
     n = len(posterior)
-    seen = np.bincount(at, minlength=WEIGHTS) >= 3
-    kept = seen[at]
+    seen = sum(np.bincount(at, minlength=WEIGHTS) for _, at, _ in blocks) >= 3
     names = np.flatnonzero(seen)
     position = np.zeros(WEIGHTS, np.int32)
     position[names] = np.arange(len(names))
-    rows, at, values = rows[kept], position[at[kept]], values[kept]
+    for i, (rows, at, values) in enumerate(blocks):
+        kept = seen[at]
+        blocks[i] = rows[kept], position[at[kept]], values[kept]
     w, bias, first, second = np.zeros(len(names)), -2.0, np.zeros(len(names)), np.zeros(len(names))
     for step in range(1, steps + 1):
-        off = _sigmoid(np.bincount(rows, weights=w[at] * values, minlength=n) + bias) - posterior
-        slope = np.bincount(at, weights=off[rows] * values, minlength=len(names)) / n + 1e-4 * w
+        slope, off_sum = np.zeros(len(names)), 0.0
+        for i, (rows, at, values) in enumerate(blocks):
+            soft = posterior[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS]
+            off = _sigmoid(np.bincount(rows, weights=w[at] * values, minlength=len(soft)) + bias) - soft
+            slope += np.bincount(at, weights=off[rows] * values, minlength=len(names))
+            off_sum += off.sum()
+        slope = slope / n + 1e-4 * w
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        bias -= 1.5 * off.mean()
+        bias -= 1.5 * off_sum / n
     weights = np.zeros(WEIGHTS, np.float32)
     weights[names] = w
     return weights, float(bias)
@@ -236,18 +248,53 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most `rows` labelled rows that are not held out."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of all labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") > 0.5).alias("toxic"))
+    return staged(known, "known")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, text, toxic of at most `rows` of the known rows."""
     chosen = staged(known.orderBy(hash60("train", F.col("doc_id")), "doc_id").limit(rows), "train")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # `rows` bounds the broadcast.
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return _texts(docs).join(F.broadcast(chosen), "doc_id")
+
+
+def word_statistics(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """How many of all known toxic and clean rows have each bucket, and the number of toxic and of clean rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last number is that of the rows.
+        sums = np.zeros((2, DIMENSION + 1), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE_ROWS):
+                part = batch.slice(start, PIECE_ROWS)
+                rows, buckets, _, _ = _features(part.column("text"))
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+                for kind, of_kind in enumerate((toxic, ~toxic)):
+                    sums[kind] += np.bincount(buckets[of_kind[rows]], minlength=DIMENSION + 1)
+                    sums[kind, DIMENSION] += of_kind.sum()
+        at = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["at", "toxic", "clean"])
+
+    # No row that is held out has a label here; without them fewer texts are moved.
+    open_rows = _texts(docs.where(~is_held_out(F.col("doc_id")))).join(known, "doc_id").select("text", "toxic")
+    parts = open_rows.mapInArrow(run, "at long, toxic long, clean long")
+    found = parts.groupBy("at").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    sums = np.zeros((2, DIMENSION + 1), np.int64)
+    sums[0, found["at"].to_numpy()] = found["toxic"].to_numpy()
+    sums[1, found["at"].to_numpy()] = found["clean"].to_numpy()
+    return sums[0, :-1], sums[1, :-1], int(sums[0, -1]), int(sums[1, -1])
 
 
 def _collected(sample: DataFrame) -> tuple:
-    """Features of the training rows: rows, buckets, counts, words, shouting, toxic."""
+    """Features of the training rows: where each row's begin, buckets, counts, words, shouting, toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,19 +317,33 @@ def _collected(sample: DataFrame) -> tuple:
 
     schema = "doc_id long, toxic boolean, words long, shout boolean, buckets binary, counts binary"
     found = sample.mapInArrow(run, schema).toArrow().sort_by("doc_id")
-    buckets = [np.frombuffer(b, np.int32) for b in found["buckets"].to_pylist()]
-    counts = [np.frombuffer(b, np.uint16) for b in found["counts"].to_pylist()]
-    none = [np.zeros(0, np.int32)]
+    buckets, ends = _flat(found["buckets"], np.int32)
+    counts, _ = _flat(found["counts"], np.uint16)
     return (
-        np.repeat(np.arange(len(buckets), dtype=np.int32), [len(b) for b in buckets]),
-        np.concatenate(buckets or none),
-        np.concatenate(counts or none),
-        np.array(found["words"].to_pylist(), np.int64),
-        np.array(found["shout"].to_pylist(), bool),
-        np.array(found["toxic"].to_pylist(), bool),
+        ends,
+        buckets,
+        counts,
+        found["words"].to_numpy(),
+        found["shout"].to_numpy().astype(bool),
+        found["toxic"].to_numpy().astype(bool),
     )
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row's begin, with their end."""
+    parts = [np.frombuffer(value.as_buffer(), kind) for chunk in column.chunks for value in chunk]
+    return np.concatenate([np.zeros(0, kind), *parts]), np.cumsum([0, *(len(p) for p in parts)])
+
+
+def _blocks(ends: np.ndarray, buckets: np.ndarray, counts: np.ndarray, words: np.ndarray) -> Iterator[tuple]:
+    """Per BLOCK_ROWS rows: their slice, and rows, buckets, counts and words as `_features` has them."""
+    for start in range(0, len(words), BLOCK_ROWS):
+        part = slice(start, min(start + BLOCK_ROWS, len(words)))
+        lo, hi = ends[part.start], ends[part.stop]
+        rows = np.repeat(np.arange(part.stop - start, dtype=np.int32), np.diff(ends[start : part.stop + 1]))
+        yield part, (rows, buckets[lo:hi], counts[lo:hi], words[part])
+
+
 def vote_moments(docs: DataFrame, voters: Voters) -> tuple[np.ndarray, int]:
     """How many of all documents each pair of voters votes on together, and the number of documents."""
     m = Voters.N
@@ -304,17 +365,23 @@ def vote_moments(docs: DataFrame, voters: Voters) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    of_row, buckets, counts, words, shout, toxic = _collected(training_rows(docs, labels, rows))
-    if toxic.all() or not toxic.any():
-        return ToxicityModel(None, np.zeros(0), float(toxic.mean()) if len(toxic) else 0.0)
+    known = known_labels(labels)
+    with_it, without, n1, n0 = word_statistics(docs, known)
+    if not n1 or not n0:
+        return ToxicityModel(None, np.zeros(0), n1 / (n1 + n0) if n1 + n0 else 0.0)
     insults = np.zeros(DIMENSION, bool)
     insults[insult_buckets()] = True
-    voters = Voters(choose_lexicon(of_row, buckets, toxic), insults)
+    voters = Voters(choose_lexicon(with_it, without, n1, n0), insults)
     both, total = vote_moments(docs, voters)
-    model = LabelModel.fit(both, total, float(toxic.mean()))
-    votes = voters.votes(of_row, buckets, counts, words, shout)
-    posterior = scaled_posterior(model.log_odds(votes), toxic)
-    weights, bias = fit_linear(*voters.linear(of_row, buckets, counts, words, votes), posterior)
+    model = LabelModel.fit(both, total, n1 / (n1 + n0))
+    ends, buckets, counts, words, shout, toxic = _collected(training_rows(docs, known, rows))
+    blocks, odds = [], []
+    for part, features in _blocks(ends, buckets, counts, words):
+        votes = voters.votes(*features, shout[part])
+        odds.append(model.log_odds(votes))
+        blocks.append(voters.linear(*features, votes))
+    del buckets, counts
+    weights, bias = fit_linear(blocks, scaled_posterior(np.concatenate(odds), toxic))
     return ToxicityModel(voters, weights, bias, model)
 
 

@@ -379,6 +379,22 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in flat.collect()} == {0.0}
 
 
+def test_toxicity_lexicon_covers_all_labelled_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 30) + " vrakzo" * (i % 6 == 0), None, None, None) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    table = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    assert toxicity.TRAIN_ROWS >= 8000
+    # The bound of the classifier's rows leaves one or two toxic ones, too few for a lexicon.
+    model = toxicity.fit(docs, table, rows=8)
+    bucket = toxicity._features(pa.array(["vrakzo"]))[1]
+    assert (model.voters.group[bucket] >= 0).all()
+    with_it, without, toxic, clean = toxicity.word_statistics(docs, toxicity.known_labels(table))
+    open_rows = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert toxic == sum(i % 6 == 0 for i in open_rows) and toxic + clean == len(open_rows)
+    assert (with_it[bucket] == toxic).all() and (without[bucket] == 0).all()
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
