@@ -10,8 +10,8 @@ third of all pages share is one row per task. Only the revisits (page and respon
 revisits are not stored. Writing needs no shuffle of payloads while the revisits are few; reading deals chunks by record.
 
 Defined results: a null html is an empty payload; payloads below `REVISIT_LEAST` bytes are always responses. Of equal payloads
-the smallest page_id is the response; rows that repeat that page_id are responses too. Rows without page_id are responses unless
-a row with one has their payload. Empty tables give empty archives.
+the smallest page_id is the response; rows that repeat that page_id with that payload are responses too. Rows of one page_id with
+different payloads are judged each by its own payload. Rows without page_id are responses. Empty tables give empty archives.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the pages whose payload a page with a smaller id has."""
+    """page_id, digest, refers_to of the pages whose payload a page with a smaller id has."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     digests = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -45,7 +45,7 @@ def revisits(pages: DataFrame) -> DataFrame:
     digests = staged(digests.drop("n"), "payloads")
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     repeated = staged(firsts.where("n > 1").drop("n"), "repeated")
-    return digests.join(repeated, "digest").where("page_id > refers_to").select("page_id", "refers_to")
+    return digests.join(repeated, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to")
 
 
 def _header(page_id: int | None, url: str, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -87,12 +87,14 @@ def record_chunks(
 def write_archives(pages: DataFrame, name: str = "archive") -> DataFrame:
     """Write one record per page; the chunk table."""
     links = staged(revisits(pages), "revisits")
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).join(links.dropDuplicates(["page_id"]), "page_id", "left")
-    return staged(rows.mapInArrow(_write, _CHUNKS), name)
+        html.alias("html"),
+        F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"),
+    ).join(links.dropDuplicates(["page_id", "digest"]), ["page_id", "digest"], "left")
+    return staged(rows.drop("digest").mapInArrow(_write, _CHUNKS), name)
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -348,6 +348,16 @@ def test_fingerprints_against_brute_force(odd):
             assert abs(r.near_edited - r.jaccard_edited) < 0.35 and 0 <= r.near_next <= 1
 
 
+
+def test_warc_revisits_go_by_payload(spark):
+    pages = [(1, "u", "a" * 200), (2, "u", "a" * 200), (2, "u", "b" * 200), (2, "u", "short"), (3, "u", "b" * 200), (None, "u", "a" * 200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(frame)).collect())
+    a, b, short = (hashlib.sha256(x.encode()).hexdigest() for x in ("a" * 200, "b" * 200, "short"))
+    wanted = [(1, a, "response", None), (2, a, "revisit", 1), (2, b, "response", None), (2, short, "response", None)]
+    assert got == Counter([*wanted, (3, b, "revisit", 2), (None, a, "response", None)])
+
+
 def test_near_links_find_copies(odd):
     links = {(r.a, r.b) for r in fingerprints.near_links(odd).collect()}
     assert {tuple(sorted(x)) for x in links} == {(1, 3)}
