@@ -18,8 +18,9 @@ and hold one block's sets. Pairs exist only as counts within a block, never as r
 
 Defined results: null and empty texts have no set and link with nothing. Texts with fewer words than n have one shingle, the
 whole sequence. Rows with equal doc_id and different texts are nodes of their own; rows that repeat doc_id and text are all
-kept or all dropped, and `drop_near_copies` returns one of them. A component of rows without doc_id has none either. Empty
-tables give empty results.
+kept or all dropped. A component of rows without doc_id has none either. `drop_near_copies` returns one row of each component,
+with the smallest doc_id (null last), then the smallest digest and the smallest hash of the text; a text without a set is a
+component of its own. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def set_digest(ordered: np.ndarray) -> bytes:
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its band keys (null for empty sets)."""
+    """doc_id, hash of the text, n_shingles, digest of the set, and its band keys (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +107,16 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([band_keys(densified(s)).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "digest", "bands"],
                 )
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands binary")
+    keyed = _narrow(docs).withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, bands binary")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -303,7 +306,8 @@ def _open_rows(known: DataFrame, total: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, digest of its set, component_id."""
+    """One row per row of docs: doc_id, text_key, n_shingles, digest of its set, component_id, and the digest whose row with
+    component_id stands for the component (null for empty sets)."""
     rows = staged(set_rows(docs, n), "sets")
     nodes = rows.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
@@ -315,19 +319,26 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Da
         named = named.withColumn("label", F.col("node"))
     else:
         named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.join(smallest, "label").select("digest", "n_rows", "component_id"), "named")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest"))
+    smallest = named.groupBy("label").agg(first.alias("first"))
+    smallest = smallest.select("label", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("keep_digest"))
+    named = staged(named.join(smallest, "label").select("digest", "n_rows", "component_id", "keep_digest"), "named")
     total = rows.count()
-    narrow = rows.select("doc_id", "n_shingles", "digest")
-    empty = narrow.where("digest is null").withColumn("component_id", F.col("doc_id"))
+    narrow = rows.select("doc_id", "text_key", "n_shingles", "digest")
+    empty = narrow.where("digest is null").withColumn("component_id", F.col("doc_id")).withColumn("keep_digest", F.col("digest"))
     found = join_counted(narrow.where("digest is not null"), named, "digest", "n_rows", total)
-    return found.select("doc_id", "n_shingles", "digest", "component_id").unionByName(empty.select("doc_id", "n_shingles", "digest", "component_id"))
+    return found.select(*empty.columns).unionByName(empty)
 
 
 def drop_near_copies(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each component, that with its smallest doc_id; the columns of docs."""
     found = near_groups(docs, n, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("digest").eqNullSafe(F.col("keep_digest")))
+    # Of a component one text; texts without a set stay, each in one row of a doc_id.
+    own = F.when(F.isnull("digest"), F.col("text_key"))
+    kept = firsts.groupBy(F.col("doc_id").alias("kept_id"), "digest", own.alias("own")).agg(F.min("text_key").alias("kept_key"))
+    kept = kept.select("kept_id", "kept_key").distinct()
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    joined = whole.join(staged(kept, "kept"), F.col("key").eqNullSafe(F.col("kept_id")), "left_semi")
+    same = F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    joined = whole.join(staged(kept, "kept"), same, "left_semi")
     return joined.dropDuplicates(["key", "text_key"]).select("row.*")

@@ -175,6 +175,27 @@ def test_near_copies_are_dropped_once(odd):
     assert ids == Counter({1: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, None: 1, 10: 2, 100: 1})
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    rng = random.Random(8)
+    one, two, three = (sentence(rng, 120).split(" ") for _ in range(3))
+    near = lambda x, i: " ".join([*x[:i], "changed", *x[i + 1 :]])
+    rows = [
+        # One doc_id with two texts of one component and one of another; one set in two texts.
+        (1, " ".join(one)), (1, near(one, 60)), (1, " ".join(one).upper()), (1, "another text of the same id"),
+        # Copies without doc_id of a kept document, and a component of rows without doc_id only.
+        (None, near(one, 30)), (None, " ".join(two)), (None, near(two, 60)), (None, near(two, 90)), (None, ""), (None, None),
+        # A doc_id that is kept for one text only.
+        (3, " ".join(three)), (4, near(three, 60)), (4, "what only four has in its text"), (4, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs).collect()]
+    of = lambda x: {near(x, i) for i in (30, 60, 90)} | {" ".join(x), " ".join(x).upper()}
+    assert len(kept) == 8 and set(kept) <= set(rows)
+    assert [i for i, text in kept if text in of(one)] == [1] and [i for i, text in kept if text in of(two)] == [None]
+    others = {(i, text) for i, text in kept if text not in of(one) | of(two)}
+    assert others == {rows[3], rows[8], rows[9], rows[10], rows[12], rows[13]}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 20)] + [(50, i) for i in range(51, 90)] + [(200, 200), (300, 299)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
