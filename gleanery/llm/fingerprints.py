@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.near_dedup import bucket_links, set_digest, text_sets
-from gleanery.llm.staging import staged
+from gleanery.llm.near_dedup import bucket_pairs, set_digest, text_sets
+from gleanery.llm.staging import join_counted, staged
 from gleanery.llm.words import mix64, shingle_hashes, word_hashes
 
 PERMUTATIONS = 64
@@ -212,19 +212,24 @@ def _bands(values: np.ndarray) -> bytes:
 
 
 def near_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """a, b: verified links between different sets, each named by the smallest doc_id that has it.
+    """a, b: all verified links between different sets with a common band, each set named by the smallest doc_id that has it.
 
-    They connect all members of common buckets that are connected by likeness; pairs that are connected already are not listed.
+    Documents with equal sets are linked by `near_members`.
     """
     rows = staged(fingerprint_rows(docs, n).where("digest is not null"), "fingerprints")
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links, _ = bucket_links(docs, nodes, n, percent, PERMUTATIONS // BAND_ROWS)
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
+    links = staged(bucket_pairs(docs, nodes, n, percent, PERMUTATIONS // BAND_ROWS), "pairs")
     named = nodes.select("node", "doc_id")
     return (
         links.join(named.select(F.col("node").alias("a"), F.col("doc_id").alias("a_id")), "a")
         .join(named.select(F.col("node").alias("b"), F.col("doc_id").alias("b_id")), "b")
         .select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     )
+
+
+def near_members(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """doc_id, name: of every document with a set, the smallest doc_id that has its set, which `near_links` lists."""
+    rows = staged(fingerprint_rows(docs, n).where("digest is not null").select("doc_id", "digest"), "members")
+    named = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("n")), "names")
+    return join_counted(rows, named, "digest", "n", rows.count()).select("doc_id", "name")

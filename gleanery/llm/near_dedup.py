@@ -261,6 +261,19 @@ def bucket_links(
     return links, labels
 
 
+def bucket_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int, bands: int = BINS // ROWS) -> DataFrame:
+    """a, b: every confirmed link between members of a common bucket, once."""
+    rows = bucket_rows(nodes, bands)
+    involved = nodes.join(rows.select("node").distinct(), "node").select("node", "n_shingles", "digest", "doc_id")
+    involved = staged(involved, "involved")
+    sets = node_sets(docs, involved, n)
+    ranked = staged(rows.join(involved.select("node", "n_shingles"), "node"), "ranked")
+    # Every member is in a block; those of the same largest bucket share blocks.
+    asking = ranked.withColumn("outside", F.lit(True)).withColumn("largest", F.col("key"))
+    found = confirmed(*_blocks(asking, ranked.count()), sets, percent)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _stars(rows: DataFrame, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of each bucket the best-connected member outside its largest component as a block, and the members it is compared with."""
     best = F.max(F.when(F.col("outside"), F.struct("degree", (-F.col("node")).alias("order"), "n_shingles", "label")))

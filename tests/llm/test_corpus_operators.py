@@ -384,6 +384,18 @@ def test_near_links_find_copies(odd):
     assert {tuple(sorted(x)) for x in links} == {(1, 3)}
 
 
+def test_near_links_list_every_pair_of_a_family(spark):
+    rng = random.Random(3)
+    base = sentence(rng, 300).split(" ")
+    family = {i: " ".join([*base[: 20 * i], f"changed{i}", *base[20 * i + 1 :]]) for i in range(1, 7)}
+    rows = [*family.items(), (20, family[1].upper()), (21, sentence(rng, 200)), (22, ""), (23, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = [tuple(sorted((r.a, r.b))) for r in fingerprints.near_links(docs).collect()]
+    assert sorted(links) == [(i, j) for i in family for j in family if i < j]
+    members = {r.doc_id: r["name"] for r in fingerprints.near_members(docs).collect()}
+    assert members == {**{i: i for i in family}, 20: 1, 21: 21}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(1)
     rows, labels = [], []
