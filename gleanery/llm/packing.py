@@ -1,10 +1,11 @@
 """Packing documents into batches: optimal length buckets, token-budget batches inside each bucket.
 
 Every document of a bucket is padded to the bucket's bound, its longest document. Dynamic programming over the histogram of all
-lengths chooses the bounds that minimise the padding. A batch holds as many documents as fit its token budget when padded.
+lengths chooses the bounds that minimise the padding; from `EXACT` tokens on it chooses among the ends of the histogram's cells, so
+the bounds are the optimum among those, not among all lengths. A batch holds as many documents as fit its token budget when padded.
 
-Scale: the histogram has exact cells up to `EXACT` tokens and cells of 1/`EXACT` relative width above, at most a few thousand
-whatever the corpus, so it and the program run on the driver. Batches need the rank of a document within its bucket; a bucket
+Scale: the histogram has exact cells up to `EXACT` tokens and cells of up to 2/`EXACT` relative width above, at most a few
+thousand whatever the corpus, so it and the program run on the driver. Batches need the rank of a document within its bucket; a bucket
 may hold most rows, so it is dealt by hash into groups of about `GROUP_ROWS` rows that are ranked on their own, and the groups'
 row counts give the offsets. The rank is exact: only the last batch of a bucket is not full.
 
