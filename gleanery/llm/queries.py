@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, toxicity, url_filter, warc
+from gleanery.llm import chat, exact_dedup, fill_middle, fingerprints, language_id, line_dedup, mixing, near_dedup, packing
+from gleanery.llm import toxicity, url_filter, vector_codes, warc
 from gleanery.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,21 @@ def op10_length_buckets(spark, folder):
     return packed.select("row.doc_id", "n_tokens", "bucket", "bound", "batch", "slot", "padding")
 
 
+@registered
+def op11_vector_codes(spark, folder):
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
+@registered
+def op12_fill_middle(spark, folder):
+    return fill_middle.digests(table(spark, folder, "documents"))
+
+
+@registered
+def op13_language_id(spark, folder):
+    return language_id.languages(table(spark, folder, "documents"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES["op8_exact_dedup"] = f"""
@@ -190,3 +206,63 @@ SELECT conv_id, ((position - 1) // 256)::INT AS part, count(*) AS n_turns,
        AS rendered
 FROM t JOIN f USING (conv_id) GROUP BY conv_id, part
 """
+
+
+def _vector_codes() -> str:
+    """Four rounds, one after another: a(r) assigns parts to the entries of c(r), c(r + 1) has their floored means."""
+    rounds = []
+    for r in range(5):
+        rounds.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, part, min(d * 256 + entry) % 256 AS entry, min(d) AS d
+  FROM (SELECT row, part, entry, CAST(sum((p.v - c.v) * (p.v - c.v)) AS BIGINT) AS d FROM p JOIN c{r} c USING (part, pos) GROUP BY ALL)
+  GROUP BY row, part
+)""")
+        if r < 4:
+            rounds.append(f"""
+m{r} AS (
+  SELECT part, entry, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM p JOIN a{r} USING (row, part) GROUP BY ALL
+),
+c{r + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c.v) AS v FROM c{r} c LEFT JOIN m{r} USING (part, entry, pos)
+)""")
+    return f"""
+WITH e AS (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS row, len(v) // 4 AS width FROM e),
+p AS MATERIALIZED (
+  SELECT row, (i - 1) // width AS part, (i - 1) % width AS pos, v[i] AS v
+  FROM (SELECT row, width, v, unnest(range(1, len(v) + 1)) AS i FROM o)
+),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, pos, v FROM p WHERE row <= 256),{",".join(rounds)},
+k AS (
+  SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY row
+),
+b AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM o JOIN k USING (row), b
+"""
+
+
+ORACLES["op11_vector_codes"] = _vector_codes()
+
+ORACLES["op12_fill_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+             [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+k AS (SELECT *, CAST(len(lines) AS BIGINT) AS n, least(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS low,
+             greatest(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS high FROM l),
+c AS (SELECT *, array_to_string(lines[1:low], '') AS prefix, array_to_string(lines[low + 1:high], '') AS middle,
+             array_to_string(lines[high + 1:], '') AS suffix,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+                  WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
