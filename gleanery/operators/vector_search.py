@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleanery.functions.vectors import as_matrix, checked_metric, distance_matrix, distance_to
-from gleanery.session import cut_lineage
-
-# One block of queries is held by every task: 2,048 vectors of 1,024 doubles are 16 MB.
-QUERY_BLOCK = 2_048
+from gleanery.operators import tiles
 
 
 def with_distance(df: DataFrame, query: Sequence[float], metric: str = "cosine", vector: str = "embedding") -> DataFrame:
@@ -56,53 +51,6 @@ def get_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "chunk_id") -> DataF
     return df.join(ids.select(id_col), id_col, "left_semi").withColumn("distance", F.lit(0.0))
 
 
-def _present(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.filter(batch.column(1).is_valid()) if batch.column(1).null_count else batch
-
-
-def _nearest(distances: np.ndarray, names: pa.Array, k: int) -> list[tuple]:
-    """(distance, id) of the k nearest, ties by id."""
-    # Everything up to the k-th distance, so that ties at the edge are settled by id.
-    edge = np.partition(distances, k - 1)[k - 1] if len(distances) > k else np.inf
-    near = np.flatnonzero(distances <= edge)
-    return sorted(zip(distances[near].tolist(), names.take(pa.array(near)).to_pylist()))[:k]
-
-
-def _as_batch(query_ids: pa.Array, best: list[list[tuple]], id_type: pa.DataType) -> pa.RecordBatch:
-    owner = np.repeat(np.arange(len(best)), [len(b) for b in best])
-    return pa.RecordBatch.from_arrays(
-        [
-            query_ids.take(pa.array(owner)),
-            pa.array([name for b in best for _, name in b], id_type),
-            pa.array([d for b in best for d, _ in b], pa.float64()),
-        ],
-        names=["query_id", "id", "distance"],
-    )
-
-
-def _held_queries(batches: Iterator[pa.RecordBatch], held: pa.Table, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """Corpus batches against held queries: this task's k nearest rows of every query."""
-    ids, queries = held.column(0).combine_chunks(), as_matrix(held.column(1))
-    best: list[list[tuple]] = [[] for _ in range(len(ids))]
-    id_type = None
-    for batch in map(_present, batches):
-        id_type = batch.schema.field(0).type
-        if len(batch):
-            distances = distance_matrix(as_matrix(batch.column(1)), queries, metric)
-            best = [sorted(old + _nearest(column, batch.column(0), k))[:k] for old, column in zip(best, distances.T)]
-    if id_type is not None:
-        yield _as_batch(ids, best, id_type)
-
-
-def _held_corpus(batches: Iterator[pa.RecordBatch], held: pa.Table, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """Query batches against a held corpus: the final k nearest rows of every query."""
-    ids, rows = held.column(0).combine_chunks(), as_matrix(held.column(1))
-    for batch in map(_present, batches):
-        if len(batch):
-            distances = distance_matrix(rows, as_matrix(batch.column(1)), metric)
-            yield _as_batch(batch.column(0), [_nearest(column, ids, k) for column in distances.T], ids.type)
-
-
 def search_many(
     df: DataFrame,
     queries: DataFrame,
@@ -115,48 +63,16 @@ def search_many(
 ) -> DataFrame:
     """Nearest rows for a table of query vectors, as query_id, id, distance, rank.
 
-    No pairs are emitted: a task multiplies its Arrow batches with one held block of vectors and
-    sends on only the `top_k` per query. The block is the corpus where that is small (a result cache,
-    say): queries then stream past it and nothing is shuffled but the answers. Otherwise it is the
-    queries, up to QUERY_BLOCK of them; more are cut by the hash of their (unique) id into blocks
-    that average half of QUERY_BLOCK, and the corpus is read once per block. Any number of either is
-    answered exactly with one block held at a time.
+    Blocks of queries meet slices of the corpus on executors (`tiles`): one plan at every size, exact, and no vector comes to the
+    driver. Rows and queries without a vector are left out.
     """
     metric = checked_metric(metric)
-    id_type = df.schema[id_col].dataType.simpleString()
-    query_type = queries.schema[query_id].dataType.simpleString()
-    output = f"query_id {query_type}, id {id_type}, distance double"
-    corpus = df.select(id_col, vector)
-    asked = queries.select(query_id, query_vector)
-    # At most (tasks x top_k) rows per query reach this window.
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-
-    n_queries = asked.select(query_id).count()
-    if n_queries > QUERY_BLOCK and corpus.select(id_col).limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        held = _present_table(corpus)
-        if held.num_rows == 0:
-            return df.sparkSession.createDataFrame([], output + ", rank int")
-        found = asked.mapInArrow(lambda batches: _held_corpus(batches, held, top_k, metric), output)
-        return found.withColumn("rank", F.row_number().over(order))
-
-    blocks = [asked]
-    if n_queries > QUERY_BLOCK:
-        n_blocks = -(-2 * n_queries // QUERY_BLOCK)
-        # Materialised: every block is cut from the same rows.
-        asked = cut_lineage(asked.withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(n_blocks))))
-        blocks = [asked.where(F.col("block") == b).drop("block") for b in range(n_blocks)]
-    found = None
-    for block in blocks:
-        held = _present_table(block)
-        if held.num_rows == 0:
-            continue
-        part = corpus.mapInArrow(lambda batches, held=held: _held_queries(batches, held, top_k, metric), output)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = df.sparkSession.createDataFrame([], output)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-
-
-def _present_table(df: DataFrame) -> pa.Table:
-    held = df.toArrow()
-    return held.filter(held.column(1).is_valid())
+    group = F.lit(0).alias("group")
+    corpus = df.select(group, F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    asked = queries.select(group, F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector"))
+
+    def distances(held: np.ndarray, questions: np.ndarray) -> np.ndarray:
+        return distance_matrix(held, questions, metric).T
+
+    found = tiles.nearest(corpus, asked, top_k, "vector", "query_vector", as_matrix, as_matrix, distances)
+    return found.select("query_id", "id", "distance", "rank")

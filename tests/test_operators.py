@@ -15,7 +15,7 @@ from gleanery.functions.splitter import EncodingCounter, Splitter, WordEstimate
 from gleanery.functions.tokens import STOP_WORDS, keyword_tokens, keyword_tokens_of, token_estimate, words
 from gleanery.functions.vectors import checked_metric
 from gleanery.operators import answers, bm25, change_detection, chunking, fusion, heading_tree, result_cache
-from gleanery.operators import structure, vector_search
+from gleanery.operators import structure, tiles, vector_search
 from gleanery.operators.embedding import HashingEmbedder, ModelEmbedder
 from gleanery.session import spread
 from gleanery.sources.pages import html_files
@@ -84,6 +84,15 @@ def test_bm25_of_an_empty_corpus_has_no_hits(spark):
 # ---------------------------------------------------------------- vectors
 
 
+def distance(a, b, metric):
+    if metric == "l2":
+        return ((a - b) ** 2).sum()
+    if metric == "ip":
+        return 1 - a @ b
+    norm = np.linalg.norm(a) * np.linalg.norm(b)
+    return 1 - (a @ b / norm if norm else 0.0)
+
+
 def test_search_and_batch_search_match_brute_force(spark):
     rng = np.random.default_rng(7)
     data = rng.integers(-3, 4, (40, 6)).astype(float)
@@ -92,14 +101,6 @@ def test_search_and_batch_search_match_brute_force(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(99, None)], "chunk_id int, embedding array<float>")
     questions = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(asked)], "query_id string, query_vector array<float>")
 
-    def distance(a, b, metric):
-        if metric == "l2":
-            return ((a - b) ** 2).sum()
-        if metric == "ip":
-            return 1 - a @ b
-        norm = np.linalg.norm(a) * np.linalg.norm(b)
-        return 1 - (a @ b / norm if norm else 0.0)
-
     for metric in ("cosine", "l2", "ip"):
         want = {
             f"q{j}": sorted((round(distance(v, q, metric), 9), i) for i, v in enumerate(data))[:7] for j, q in enumerate(asked)
@@ -115,12 +116,27 @@ def test_search_and_batch_search_match_brute_force(spark):
     assert checked_metric("manhattan") == "cosine"
 
 
-def test_batch_search_with_several_blocks_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 4)
-    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "chunk_id int, embedding array<float>")
-    questions = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    got = vector_search.search_many(rows, questions, 1, "l2").collect()
-    assert sorted((r["query_id"], r["id"]) for r in got) == [(i, i) for i in range(30)]
+def test_batch_search_with_several_tiles_is_exact(spark, monkeypatch):
+    """Both sides over several blocks and slices, equal rows, null vectors on both sides, more than one level of merging."""
+    monkeypatch.setattr(tiles, "SLICE_ROWS", 13)
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(tiles, "FAN_IN", 2)
+    monkeypatch.setattr(tiles, "CHUNK_CELLS", 30)
+    rng = np.random.default_rng(12)
+    data = [rng.integers(-2, 3, 6).astype(float).tolist() for _ in range(150)]
+    asked = [rng.integers(-2, 3, 6).astype(float).tolist() for _ in range(40)]
+    rows = spark.createDataFrame([(f"c{i}", v) for i, v in enumerate(data)] + [("none", None)], "chunk_id string, embedding array<double>")
+    questions = spark.createDataFrame([*enumerate(asked), (99, None)], "query_id int, query_vector array<double>")
+    for metric in ("cosine", "l2", "ip"):
+        got = {}
+        for r in vector_search.search_many(rows.repartition(3), questions, 5, metric).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((round(r["distance"], 7), r["id"]))
+        want = {
+            j: sorted((round(float(distance(np.array(v), np.array(q), metric)), 7), f"c{i}") for i, v in enumerate(data))[:5] for j, q in enumerate(asked)
+        }
+        assert got == want
+    assert vector_search.search_many(rows.where("false"), questions, 5).count() == 0
+    assert vector_search.search_many(rows, questions.where("false"), 5).count() == 0
 
 
 def test_ties_go_to_the_smaller_id(spark):
