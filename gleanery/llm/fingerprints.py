@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.near_dedup import bucket_pairs, set_digest, text_sets
+from gleanery.llm.near_dedup import bucket_pairs, set_digest, set_nodes, text_sets
 from gleanery.llm.staging import join_counted, staged
 from gleanery.llm.words import mix64, shingle_hashes, word_hashes
 
@@ -182,7 +182,7 @@ def edited_fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def fingerprint_rows(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the keys of its fingerprint's bands (null without shingles)."""
+    """doc_id, hash of the text, n_shingles, digest of the set, and the keys of its fingerprint's bands (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,15 +192,17 @@ def fingerprint_rows(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([_bands(signature(s)) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "digest", "bands"],
                 )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands binary")
+    keyed = narrow.withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, bands binary")
 
 
 def _bands(values: np.ndarray) -> bytes:
@@ -217,8 +219,7 @@ def near_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Dat
     Documents with equal sets are linked by `near_members`.
     """
     rows = staged(fingerprint_rows(docs, n).where("digest is not null"), "fingerprints")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = set_nodes(rows)
     links = staged(bucket_pairs(docs, nodes, n, percent, PERMUTATIONS // BAND_ROWS), "pairs")
     named = nodes.select("node", "doc_id")
     return (

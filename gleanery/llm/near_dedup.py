@@ -139,24 +139,44 @@ def bucket_rows(nodes: DataFrame, bands: int = BINS // ROWS) -> DataFrame:
     return staged(join_counted(every, counts.withColumn("members", F.col("n")), "key", "n", total), "bucket_rows")
 
 
+def set_nodes(rows: DataFrame) -> DataFrame:
+    """node, digest, n_shingles, bands, n_rows of every distinct set, and doc_id and text_key of the first row that has it."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key"))
+    nodes = rows.where("digest is not null").groupBy("digest").agg(
+        first.alias("at"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+    )
+    named = nodes.select("digest", "at.doc_id", "at.text_key", "n_rows", "n_shingles", "bands")
+    return staged(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, set: for `wanted` (node, digest, doc_id of one of its rows), the set's hashes as bytes."""
+    """node, set: for `wanted` (node, digest, doc_id and text_key of one of its n_rows rows), the set's hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row may be repeated, with its doc_id or without one.
+        seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
+                new = [i for i, node in enumerate(part.column("node").to_pylist()) if not (node in seen or seen.add(node))]
+                part = part.take(pa.array(new, pa.int64()))
                 sets = [s.tobytes() for s in text_sets(part.column("text"), n)]
-                # Rows that only share the doc_id have another digest.
+                # Another text of the same id and hash has another digest.
                 own = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
-                keep = [i for i, ok in enumerate(own) if ok]
-                nodes = part.column("node").take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[i] for i in keep], pa.binary())], names=["node", "set"])
+                seen.difference_update(node for node, ok in zip(part.column("node").to_pylist(), own, strict=True) if not ok)
+                keep = pa.array([i for i, ok in enumerate(own) if ok], pa.int64())
+                kept = [part.column(c).take(keep) for c in ("node", "repeated")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([sets[i.as_py()] for i in keep], pa.binary())], names=["node", "repeated", "set"])
 
-    asked = wanted.select("node", "digest", F.col("doc_id").alias("asked_id"))
-    # The wanted nodes grow with the corpus: the same join at every size. Rows that repeat doc_id and text give a set again.
-    found = _narrow(docs).join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("asked_id")))
-    return staged(found.select("node", "digest", "text").mapInArrow(run, "node long, set binary"), "sets")
+    asked = wanted.select(
+        "node", "digest", F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key"), (F.col("n_rows") > 1).alias("repeated")
+    )
+    rows = _narrow(docs).withColumn("text_key", F.xxhash64("text"))
+    # The wanted nodes grow with the corpus: the same join at every size. Rows of one id, or without one, are told apart by their text.
+    found = rows.join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_key") == F.col("asked_key")))
+    made = staged(found.select("node", "digest", "repeated", "text").mapInArrow(run, "node long, repeated boolean, set binary"), "sets")
+    once = staged(made.where("repeated").select("node", "set").dropDuplicates(["node"]), "sets_of_repeated")
+    return made.where("not repeated").select("node", "set").unionByName(once)
 
 
 class _Block:
@@ -235,7 +255,7 @@ def bucket_links(
     node of its component) of every node with a link. None without links."""
     rows = bucket_rows(nodes, bands)
     degree = rows.groupBy("node").agg(F.sum("members").alias("degree"))
-    involved = nodes.join(degree, "node").select("node", "n_shingles", "digest", "doc_id", "degree")
+    involved = nodes.join(degree, "node").select("node", "n_shingles", "digest", "doc_id", "text_key", "n_rows", "degree")
     involved = staged(involved, "involved")
     sets = node_sets(docs, involved, n)
     ranked = staged(rows.join(involved.select("node", "n_shingles", "degree"), "node"), "ranked")
@@ -264,7 +284,7 @@ def bucket_links(
 def bucket_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int, bands: int = BINS // ROWS) -> DataFrame:
     """a, b: every confirmed link between members of a common bucket, once."""
     rows = bucket_rows(nodes, bands)
-    involved = nodes.join(rows.select("node").distinct(), "node").select("node", "n_shingles", "digest", "doc_id")
+    involved = nodes.join(rows.select("node").distinct(), "node").select("node", "n_shingles", "digest", "doc_id", "text_key", "n_rows")
     involved = staged(involved, "involved")
     sets = node_sets(docs, involved, n)
     ranked = staged(rows.join(involved.select("node", "n_shingles"), "node"), "ranked")
@@ -322,10 +342,7 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Da
     """One row per row of docs: doc_id, text_key, n_shingles, digest of its set, component_id, and the digest whose row with
     component_id stands for the component (null for empty sets)."""
     rows = staged(set_rows(docs, n), "sets")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
-    )
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = set_nodes(rows)
     _, labels = bucket_links(docs, nodes, n, percent)
     named = nodes.select("node", "digest", "doc_id", "n_rows")
     if labels is None:

@@ -469,3 +469,34 @@ def test_pipeline_against_brute_force(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert docs.columns == spark.read.parquet(f"{DATA}/documents.parquet").columns, name
+
+
+def test_near_groups_of_rows_without_ids(spark):
+    """Many rows without id, or of one id: each set is made from its own row only, and repeated rows give one set."""
+    rng = random.Random(31)
+    bases = [sentence(rng, 40).split(" ") for _ in range(150)]
+    rows = []
+    for i, base in enumerate(bases):
+        changed = [*base[:20], "changed", *base[21:]]
+        rows += [(None if i % 2 else 7, " ".join(base)), (None if i % 2 else 7, " ".join(changed)), (None, " ".join(base))]
+    rows += [(None, " ".join(bases[0]))] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes = near_dedup.set_nodes(near_dedup.set_rows(docs, 2))
+    sets = near_dedup.node_sets(docs, nodes, 2)
+    assert sets.count() == sets.select("node").distinct().count() == nodes.count() == 300
+    found = rows_of(near_dedup.near_groups(docs, 2))
+    assert len(found) == len(rows) and len({(r["component_id"], r["keep_digest"]) for r in found}) == 150
+
+
+def test_repeated_passages_of_rows_without_ids(spark):
+    """Different texts with a common passage and no id, or one id: all but one lose it."""
+    rng = random.Random(32)
+    passage = "\n".join(sentence(rng, 9) for _ in range(12))
+    for ids in ((None, None, None), (7, 7, 7), (None, 7, 7)):
+        rows = [(i, f"{sentence(rng, 8)}\n{passage}\n{sentence(rng, 8)}") for i in ids]
+        docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+        found = line_dedup.without_repeats(docs).select("row.doc_id", "row.text", "n_removed").collect()
+        removed = {r["text"]: r["n_removed"] for r in found}
+        assert len(found) == 4 and sorted(n > 0 for n in removed.values()) == [False, True, True]
+        # Equal rows are treated alike.
+        assert len({(r["text"], r["n_removed"]) for r in found}) == 3
