@@ -2,21 +2,20 @@
 
 A line ends a chunk where a rolling hash over the hashes of the last two lines is 0 modulo `MEAN_LINES`, so equal passages get
 equal boundaries wherever they stand. Chunks of at least two lines that are not blank are grouped by their bytes; of a group
-that occurs more than once, the occurrence in the smallest doc_id (there the first) stays and the others are removed.
+that occurs more than once, the first occurrence in the smallest doc_id stays and the others are removed.
 
 Scale: chunks combine on the map side, so a passage in a third of all documents is one row per task. Hot chunks find their group
 by a bounded broadcast, others by a shuffle. The flags of a document's chunks come back as one array, as long as the document's
 own list of chunks; texts are shuffled once, to meet their flags. All expressions are linear in the text's length.
 
-Defined results: null text stays null, with 0 lines. Rows with equal doc_id count as one document, rows without one as the last.
-Identical rows are treated alike. Blank chunks and single lines are never removed. Empty tables give empty results.
+Defined results: null text stays null, with 0 lines. Rows without doc_id come last; rows with equal doc_id, or without one, are
+ordered by a hash of their text. Rows of equal doc_id and text are one: all keep what the first keeps. Blank chunks and single lines are never removed. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from gleanery.functions.generate import exploded
 from gleanery.llm.staging import join_counted, staged
@@ -59,16 +58,14 @@ def chunk_flags(docs: DataFrame) -> DataFrame:
     bodies = rows.select("doc", "text_key", "pos", _body(F.col("chunk")).alias("body"))
     passages = bodies.where(_is_passage(F.col("body")))
     # Grouping by the passage itself compares bytes.
-    repeated = passages.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc")).where("n > 1")
-    repeated = staged(repeated.select(F.unhex(F.sha2("body", 256)).alias("digest"), "n", "first_doc"), "repeated")
+    place = F.struct("doc", "text_key", "pos")
+    repeated = passages.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    repeated = staged(repeated.select(F.unhex(F.sha2("body", 256)).alias("digest"), "n", "first"), "repeated")
     digest = F.when(_is_passage(F.col("body")), F.unhex(F.sha2("body", 256)))
     chunks = staged(bodies.select("doc", "text_key", "pos", digest.alias("digest")), "chunks")
     total = chunks.count()
     found = join_counted(chunks.where("digest is not null"), repeated, "digest", "n", total)
-    # The first document keeps its first occurrence only.
-    inside = Window.partitionBy("doc", "text_key", "digest")
-    found = found.withColumn("first_pos", F.min("pos").over(inside))
-    gone = found.where("doc <> first_doc or pos <> first_pos").select("doc", "text_key", "pos", F.lit(True).alias("gone"))
+    gone = found.where(place != F.col("first")).select("doc", "text_key", "pos", F.lit(True).alias("gone"))
     every = chunks.select("doc", "text_key", "pos", F.lit(False).alias("gone")).unionByName(gone)
     per_chunk = every.groupBy("doc", "text_key", "pos").agg(F.max("gone").alias("gone"))
     flags = per_chunk.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("pos", "gone"))).alias("flags"))
