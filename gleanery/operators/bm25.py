@@ -12,7 +12,8 @@ from gleanery.functions.tokens import keyword_tokens, keyword_tokens_of
 
 
 def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("tokens", keyword_tokens(F.col(text)))
+    """`tokens`; a text that is null counts as one without tokens."""
+    return df.withColumn("tokens", keyword_tokens(F.coalesce(F.col(text), F.lit(""))))
 
 
 # Sums taken in another order differ in the last bits; rounded, equal documents tie in every run.
@@ -90,7 +91,7 @@ def saturation(tf: Column, dl: Column, avgdl: Column, settings: Bm25Settings) ->
     return tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
 
 
-def _query_weights(question: str) -> dict[str, int]:
+def query_weights(question: str) -> dict[str, int]:
     """Distinct query terms with their number of repeats: a repeated term counts repeatedly."""
     weights: dict[str, int] = {}
     for term in keyword_tokens_of(question):
@@ -110,7 +111,7 @@ def score_texts(
     Statistics of the corpus and of the few query terms are one-row scalar subqueries over the
     token arrays; the score is then an expression on each row.
     """
-    weights = _query_weights(question)
+    weights = query_weights(question)
     if not weights:
         return tokenised.withColumn("score", F.lit(0.0))
     terms = list(weights)
@@ -150,7 +151,7 @@ def score_postings(
 
     The broadcast side has at most one row per distinct word of the question.
     """
-    weights = _query_weights(question)
+    weights = query_weights(question)
     if not weights:
         return posting_rows.where(F.lit(False)).select(*keys, F.lit(0.0).alias("score"))
     terms = list(weights)

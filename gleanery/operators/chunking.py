@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleanery.config import ChunkSettings
 from gleanery.functions.generate import bound, inlined
 from gleanery.functions.hashing import chunk_id
+from gleanery.functions.page_arrays import repeats
 from gleanery.functions.splitter import Splitter, split_pieces
 from gleanery.functions.tokens import words
 from gleanery.operators.structure import is_blank
@@ -123,18 +124,12 @@ def chunk_documents(
 
 def repaired_ids(chunks: Column) -> Column:
     """Later chunks of a document that repeat an id get a text digest appended to it."""
-    ids = F.transform(chunks, lambda c: c["chunk_id"])
-    fixed = F.transform(
-        chunks,
-        lambda c, i: c.withField(
-            "chunk_id",
-            F.when(
-                F.array_position(ids, c["chunk_id"]) <= i,
-                F.concat(c["chunk_id"], F.substring(F.md5(c["text"].cast("binary")), 1, 8)),
-            ).otherwise(c["chunk_id"]),
-        ),
-    )
-    return F.when(F.size(F.array_distinct(ids)) == F.size(ids), chunks).otherwise(fixed)
+
+    def repaired(c: Column, again: Column) -> Column:
+        digest = F.substring(F.md5(c["text"].cast("binary")), 1, 8)
+        return c.withField("chunk_id", F.when(again, F.concat(c["chunk_id"], digest)).otherwise(c["chunk_id"]))
+
+    return F.zip_with(chunks, repeats(F.transform(chunks, lambda c: c["chunk_id"])), repaired)
 
 
 def exploded_chunks(docs_with_chunks: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from gleanery.config import TreeSettings
 from gleanery.functions.generate import bound, exploded, inlined
+from gleanery.functions.page_arrays import ids_by_name
 from gleanery.functions.tokens import words
 
 NODE_TYPE = (
@@ -35,13 +36,16 @@ def tree_nodes(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> Data
     first node, or to a node of their own when the page has no headings.
     """
     heading = lambda c: F.coalesce(c["section_heading"], F.lit(UNTITLED))
-    names = F.transform("sections", lambda s: s["heading"])
+    names, headings = F.transform("sections", lambda s: s["heading"]), F.transform("chunks", heading)
+    own_ids = ids_by_name(names, headings, F.transform("chunks", lambda c: c["chunk_id"]))
+    # Headings that are no section's: few, as chunks are cut from sections.
     left_over = bound(
-        names, lambda held: F.transform(F.filter("chunks", lambda c: ~F.array_contains(held, heading(c))), lambda c: c["chunk_id"])
+        F.array_except(headings, names),
+        lambda others: F.transform(F.filter("chunks", lambda c: F.array_contains(others, heading(c))), lambda c: c["chunk_id"]),
     )
 
-    def node(s: Column, i: Column) -> Column:
-        own = F.transform(F.filter("chunks", lambda c: heading(c) == s["heading"]), lambda c: c["chunk_id"])
+    def node(left_over: Column, pair: Column, i: Column) -> Column:
+        s, own = pair["section"], pair["own"]
         preview = F.substring(s["content"], 1, settings.preview_chars)
         return F.struct(
             node_id(i + 1).alias("node_id"),
@@ -52,7 +56,7 @@ def tree_nodes(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> Data
             F.when(s["content"] != "", preview).otherwise(s["heading"]).alias("summary"),
             preview.alias("content_preview"),
             s["level"].alias("level"),
-            F.when(i == 0, F.concat(own, F.col("_left_over"))).otherwise(own).alias("chunk_ids"),
+            F.when(i == 0, F.concat(own, left_over)).otherwise(own).alias("chunk_ids"),
         ).cast(NODE_TYPE)
 
     general = F.struct(
@@ -66,8 +70,11 @@ def tree_nodes(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> Data
         F.lit(0).alias("level"),
         F.col("_left_over").alias("chunk_ids"),
     ).cast(NODE_TYPE)
+    paired = F.zip_with("sections", own_ids, lambda s, own: F.struct(s.alias("section"), own.alias("own")))
+    page = F.struct(paired.alias("pairs"), F.col("_left_over").alias("left_over"))
+    of_sections = bound(page, lambda p: F.transform(p["pairs"], lambda pair, i: node(p["left_over"], pair, i)))
     nodes = (
-        F.when(F.size("sections") > 0, F.transform("sections", node))
+        F.when(F.size("sections") > 0, of_sections)
         .when(F.size("_left_over") > 0, F.array(general))
         .otherwise(F.array().cast(f"array<{NODE_TYPE}>"))
     )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import ann_index, vector_search
+from gleanery.operators import ann_index, bm25, posting_blocks, vector_search
 from gleanery.operators.ann_index import AnnIndex, AnnSettings
 
 DATA = "/root/testdata/sf0.001"
@@ -91,3 +91,57 @@ def test_ann_of_few_and_equal_rows(spark, tmp_path):
     assert [r["id"] for r in index.search([1.0, 0.0, 2.0], 3).collect()] == [0, 1, 2]
     asked = spark.createDataFrame([(1, [1.0, 0.0, 2.0]), (2, None)], "query_id int, query_vector array<double>")
     assert [(r["query_id"], r["id"]) for r in index.search_many(asked, 2).orderBy("rank").collect()] == [(1, 0), (1, 1)]
+
+
+# ---------------------------------------------------------------- postings in blocks
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """700 documents of mixed lengths over a skewed vocabulary; one word is in all of them, some texts are equal or empty."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(f"d{i}", f"s{i % 4}", " ".join(["common", *rng.choices(words, weights, k=rng.choice([2, 5, 20, 150, 600]))])) for i in range(690)]
+    rows += [(f"e{i}", "s1", rows[3][2]) for i in range(8)] + [("f1", "s1", ""), ("f2", "s1", None)]
+    return spark.createDataFrame(rows, "chunk_id string, source_url string, text string").cache()
+
+
+def test_block_answers_are_those_of_a_full_scan(spark, worded, tmp_path, monkeypatch):
+    monkeypatch.setattr(posting_blocks, "RANGE_DOCS", 8)
+    tokens = bm25.with_tokens(worded).cache()
+    index = posting_blocks.PostingBlocks.build(tokens, str(tmp_path / "blocks"), ["chunk_id", "source_url"])
+    rng = random.Random(10)
+    questions = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 5))) for _ in range(2)]
+    questions += ["w1 w1 w2", "common", "common w250", "w0 common w299", "nothing here", "w3"]
+    skipped = {}
+    for i, question in enumerate(questions):
+        where = F.col("source_url") == "s1" if i % 2 else None
+        want = bm25.top_hits(bm25.score_texts(tokens, question), 6, where).collect()
+        found = index.search(question, 6, where, ("chunk_id", "source_url"))
+        got = found.hits.orderBy(F.desc("score"), "chunk_id").collect()
+        assert [(r["chunk_id"], round(r["score"], 9)) for r in got] == [(r["chunk_id"], round(r["score"], 9)) for r in want], question
+        skipped[question] = (found.read, found.ranges)
+    read, ranges = skipped["w3"]
+    assert ranges > 40 and read < ranges / 2
+    assert index.search("the of", 5).hits.collect() == []
+
+
+def test_block_bounds_hold_for_every_document(spark, worded, tmp_path, monkeypatch):
+    monkeypatch.setattr(posting_blocks, "LENGTH_CLASSES", 4)
+    tokens = bm25.with_tokens(worded)
+    index = posting_blocks.PostingBlocks.build(tokens, str(tmp_path / "blocks"), ["chunk_id"])
+    question = "w140 w20"
+    bounds = {r["range"]: r["bound"] for r in index.heads(question).collect()}
+    for number, bound in bounds.items():
+        assert index.scores(question, [number], ["chunk_id"]).agg(F.max("score")).first()[0] <= bound + 1e-9
+    total = sum(index.scores(question, [n], ["chunk_id"]).count() for n in bounds)
+    assert total == tokens.where(F.arrays_overlap("tokens", F.array(F.lit("w140"), F.lit("w20")))).count()
+
+
+def test_blocks_of_a_question_are_found_by_term_and_range(spark, worded, tmp_path):
+    index = posting_blocks.PostingBlocks.build(bm25.with_tokens(worded), str(tmp_path / "blocks"), ["chunk_id"])
+    plan = plan_of(index.heads("w1 w2"))
+    assert "PushedFilters: [In(term" in plan and "postings" not in plan.split("Physical Plan")[1]
+    plan = plan_of(index.scores("w1 w2", [1, 2, 3], ["chunk_id"]))
+    assert "In(range, [1,2,3])" in plan

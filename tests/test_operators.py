@@ -3,6 +3,7 @@
 import math
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -582,3 +583,33 @@ def test_later_page_of_a_url_stays(spark):
 def test_punctuation_is_ascii_only(spark):
     text = spark.createDataFrame([(f"{string.punctuation}«café»",)], "t string")
     assert text.select(keyword_tokens(F.col("t"))).first()[0] == ["«café»"]
+
+
+def test_work_per_document_is_linear(spark):
+    """Tree nodes and id repair of one page with many headings and chunks: four times as many, some six times the time at most."""
+
+    def seconds(n: int) -> float:
+        numbers = F.sequence(F.lit(0), F.col("id").cast("int") + (n - 1))
+        heading = lambda i: F.concat(F.lit("h"), i.cast("string"))
+        docs = spark.range(1).select(
+            F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit("").alias("description"),
+            F.transform(
+                numbers,
+                lambda i: F.struct(
+                    i.alias("pos"), F.lit(None).cast("int").alias("parent_pos"), F.array().cast("array<int>").alias("ancestors"),
+                    heading(i).alias("heading"), F.lit(1).alias("level"), F.lit("content").alias("content"), heading(i).alias("path"),
+                ),
+            ).alias("sections"),
+            chunking.repaired_ids(
+                F.transform(numbers, lambda i: F.struct(F.lit("same").alias("chunk_id"), heading(i).alias("section_heading"), heading(i).alias("text")))
+            ).alias("chunks"),
+        )
+        started = time.perf_counter()
+        nodes = heading_tree.tree_nodes(docs).selectExpr("nodes", "size(nodes) AS n").collect()[0]
+        took = time.perf_counter() - started
+        assert nodes["n"] == n and all(len(x["chunk_ids"]) == 1 for x in nodes["nodes"][1:])
+        return took
+
+    seconds(500)
+    small = min(seconds(2_000) for _ in range(2))
+    assert seconds(8_000) < 6 * small + 1.0
