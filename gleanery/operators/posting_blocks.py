@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import Bm25Settings
 from gleanery.operators import bm25
+from gleanery.session import Scratch
 
 RANGE_DOCS = 64
 MOST_RANGES = 65_536
@@ -46,18 +47,13 @@ def _range_of(lengths: DataFrame, keys: list[str]) -> Column:
     shares = [i / LENGTH_CLASSES for i in range(1, LENGTH_CLASSES)]
     edges = lengths.agg(F.percentile_approx("dl", F.array(*[F.lit(s) for s in shares]), 10_000)).first()[0] or []
     edges = sorted(set(edges))
-    size_class = F.lit(len(edges))
-    for i in range(len(edges) - 1, -1, -1):
-        size_class = F.when(F.col("dl") <= edges[i], F.lit(i)).otherwise(size_class)
+    size_class = F.size(F.filter(F.lit(edges).cast("array<int>"), lambda edge: edge < F.col("dl"))) if edges else F.lit(0)
     counts = {r[0]: r[1] for r in lengths.groupBy(size_class.alias("c")).count().collect()}
     docs = max(RANGE_DOCS, -(-sum(counts.values()) // (MOST_RANGES - LENGTH_CLASSES)))
-    number, start = F.lit(0), 0
-    for c in range(len(edges) + 1):
-        n = max(1, -(-counts.get(c, 0) // docs))
-        inside = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-        number = F.when(size_class == c, F.lit(start) + inside).otherwise(number)
-        start += n
-    return number
+    ranges = [max(1, -(-counts.get(c, 0) // docs)) for c in range(len(edges) + 1)]
+    starts = [sum(ranges[:c]) for c in range(len(ranges))]
+    number = lambda values: F.get(F.lit(values).cast("array<int>"), size_class)
+    return (number(starts) + F.pmod(F.xxhash64(*keys), number(ranges))).cast("int")
 
 
 def blocks_of(posting_rows: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,9 +80,11 @@ class PostingBlocks:
         lengths = tokenised.select(*keys, F.size("tokens").alias("dl"))
         lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         lengths = index._table("lengths")
-        blocks = blocks_of(bm25.postings(tokenised, keys), lengths, keys)
-        ordered = blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
-        ordered.write.mode("overwrite").parquet(f"{path}/blocks")
+        with Scratch(index.spark) as scratch:
+            # Range partitions are drawn from a sample, which would compute the blocks twice.
+            blocks = scratch.table(blocks_of(bm25.postings(tokenised, keys), lengths, keys), "blocks")
+            ordered = blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+            ordered.write.mode("overwrite").parquet(f"{path}/blocks")
         frequencies = index._table("blocks").groupBy("term").agg(F.sum("n").alias("df"))
         stats = bm25.corpus_statistics(lengths, frequencies)
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")

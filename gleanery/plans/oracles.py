@@ -259,7 +259,11 @@ entry AS (
 ORACLES: dict[str, str] = {
     "token_counts": f"""WITH {_CORPUS}
 SELECT chunk_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct, {_estimate('text')} AS n_estimated FROM tok""",
-    "bm25_term_stats": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_term_stats": f"""WITH {_CORPUS.strip()},
+freq AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM tok) GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM freq, (SELECT count(*) AS n FROM tok)),
+mean AS (SELECT avg(idf) AS mean_idf FROM raw)
+SELECT term, df, round(CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END, 6) AS idf FROM raw, mean""",
     "bm25_corpus_stats": f"WITH {_BM25} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM stat, mean",
     "bm25_postings": f"""WITH {_BM25}
 SELECT chunk_id, dl, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS sum_tf, max(tf) AS max_tf FROM post GROUP BY ALL""",

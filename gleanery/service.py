@@ -244,7 +244,8 @@ class Gleanery:
         return self.store.url_state.read().orderBy(F.desc("last_fetched"), "url").select("url")
 
     def indexed_urls(self) -> DataFrame:
-        return change_detection.distinct_values(self.store.chunks.read())
+        """The urls that have chunks, in order."""
+        return change_detection.distinct_values(self.store.chunks.read()).orderBy("source_url")
 
     def delete_url(self, url: str) -> None:
         """Remove one url from every table."""
@@ -252,6 +253,7 @@ class Gleanery:
         self.store.chunks.replace(one.withColumnRenamed("url", "source_url"))
         rewritten = self.store.postings.replace(one.withColumnRenamed("url", "source_url"))
         self.store.trees.replace(one)
+        self.store.documents.replace(one)
         self.store.url_state.replace(one)
         if self.store.has_index():
             self.store.refresh_statistics(rewritten)

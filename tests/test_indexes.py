@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import ann_index, bm25, posting_blocks, vector_search
+from gleanery.operators import ann_index, bm25, posting_blocks, trigram_index, vector_search
 from gleanery.operators.ann_index import AnnIndex, AnnSettings
 
 DATA = "/root/testdata/sf0.001"
@@ -145,3 +145,32 @@ def test_blocks_of_a_question_are_found_by_term_and_range(spark, worded, tmp_pat
     assert "PushedFilters: [In(term" in plan and "postings" not in plan.split("Physical Plan")[1]
     plan = plan_of(index.scores("w1 w2", [1, 2, 3], ["chunk_id"]))
     assert "In(range, [1,2,3])" in plan
+
+
+# ---------------------------------------------------------------- trigrams
+
+
+def test_trigram_answers_are_those_of_a_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigram_index, "PART_DOCS", 40)
+    rng = random.Random(3)
+    rows = [(f"t{i}", "".join(rng.choice("abcé語 ") for _ in range(rng.randrange(60)))) for i in range(300)]
+    rows += [("none", None), ("short", "ab"), ("needle", "x needle in a stack"), ("again", "needle needle"), ("parts", "need edle le need")]
+    docs = spark.createDataFrame(rows, "chunk_id string, text string")
+    index = trigram_index.TrigramIndex.build(docs, str(tmp_path / "trigrams"))
+    for needle in ("needle", "abc", "c é", "語a", "ab", "", "ééé", "not there at all", "a%c", "need"):
+        got = sorted(r["id"] for r in index.containing(needle).collect())
+        assert got == sorted(i for i, t in rows if t is not None and needle in t), needle
+    # All of the needle's trigrams, not in its order: a candidate that the test on the text turns down.
+    assert {r["id"] for r in index.candidates("needle").collect()} == {"needle", "again", "parts"}
+
+
+def test_trigrams_read_only_the_parts_with_candidates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigram_index, "PART_DOCS", 10)
+    docs = spark.createDataFrame([(i, f"text number {i} of some") for i in range(200)], "chunk_id int, text string")
+    index = trigram_index.TrigramIndex.build(docs, str(tmp_path / "trigrams"))
+    found = index.containing("number 117 of")
+    assert [r["id"] for r in found.collect()] == [117]
+    plan = plan_of(found)
+    assert "PartitionFilters: [part" in plan or "PartitionFilters: [isnotnull(part" in plan
+    parts = {r["part"] for r in index.candidates("number 117 of").collect()}
+    assert len(parts) <= 2 and len({f.split("part=")[1].split("/")[0] for f in index.texts().inputFiles()}) == 20
