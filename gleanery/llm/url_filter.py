@@ -1,7 +1,7 @@
 """URL filter: rules first, then naive Bayes over segmented host names and path tokens.
 
 Host names are often words written together. A unigram model counted over the titles, paths and hyphenated host names of all
-pages splits each distinct name by Viterbi into its likeliest words. Hosts with a word of `SEED_WORDS` label their pages for a
+pages, and over labels that several hosts share, splits each distinct name by Viterbi into its likeliest words. Hosts with a word of `SEED_WORDS` label their pages for a
 multinomial naive Bayes over host words and path tokens, which then scores every page: words that go along with the seeds count
 against a page too. A rule, where one fits, overrides the score.
 
@@ -9,9 +9,9 @@ Scale: unigrams, names and token weights are tables, joined by word; nothing tha
 hosts are distinct before they are segmented or scored, and token counts combine on the map side. Path tokens that most pages
 share find their weights by a bounded broadcast (`join_counted`). Rules are a short list, written into the plan.
 
-Defined results: null urls and urls without :// have empty host and path, fit no rule and score the prior. Only ASCII letters
-form host words; runs of over 63 letters (longer than a host label may be) are one word. Of rules of equal length the first by
-code point wins. Repeated urls get equal verdicts. Empty tables give empty results.
+Defined results: null urls and urls without :// have empty host and path, fit no rule and score the prior. Names of ASCII letters
+are segmented whatever their length; numbers of a host count by their length, runs of other scripts as they are. Of rules of
+equal length the first by code point wins. Repeated urls get equal verdicts. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ SEED_WORDS = (
     "warez", "xxx",
 )
 LONGEST_WORD = 20
-LONGEST_NAME = 63
+#: A host label is a word of its own where at least so many hosts have it.
+SHARED_LABEL = 5
 SMOOTHING = 1.0
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,7 +85,7 @@ def best_split(name: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def unigrams(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """word, n: from titles, paths, and host labels whose words a hyphen keeps apart."""
+    """word, n: from titles, paths, host labels whose words a hyphen keeps apart, and labels that several hosts share."""
     title = F.lower(F.regexp_extract(F.col("html").cast("string"), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
     def words(text: Column) -> Column:
@@ -96,16 +97,20 @@ def unigrams(pages: DataFrame, urls: DataFrame) -> DataFrame:
         urls.select(words(F.lower("path"))),
         urls.select(words(F.array_join(labels, "."))),
     ]
+    hosts = urls.select("host").distinct()
+    whole = hosts.select(F.explode(F.array_distinct(F.split("host", r"\."))).alias("word")).where(F.rlike("word", F.lit("^[a-z]+$")))
+    shared = whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_LABEL)
     every = found[0].unionByName(found[1]).unionByName(found[2]).where(F.length("word").between(2, LONGEST_WORD))
     seeds = pages.sparkSession.createDataFrame([(w,) for w in SEED_WORDS], "word string")
-    return every.unionByName(seeds).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = every.unionByName(seeds).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    short = shared.where(F.length("word").between(2, LONGEST_WORD))
+    return counted.unionByName(short).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     """name -> words: every distinct name with the words of its likeliest split."""
     words = staged(words, "unigrams")
     total = max(1, int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
-    short = names.where(F.length("name") <= LONGEST_NAME)
     n = F.length("name")
     pieces = F.flatten(
         F.transform(
@@ -115,7 +120,7 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
             ),
         )
     )
-    parts = short.select("name", F.explode(F.array_distinct(pieces)).alias("word"))
+    parts = names.select("name", F.explode(F.array_distinct(pieces)).alias("word"))
     known = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
@@ -124,24 +129,32 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
             [best_split(x, {w["word"]: w["n"] for w in (k if k is not None else [])}, total) for x, k in zip(name, known, strict=True)]
         )
 
-    cut = short.join(known, "name", "left").select("name", split("name", "known").alias("words"))
-    return cut.unionByName(names.where(F.length("name") > LONGEST_NAME).select("name", F.array("name").alias("words")))
+    return names.join(known, "name", "left").select("name", split("name", "known").alias("words"))
 
 
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """host, words: the words of all names in the host, in order."""
-    runs = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+"), 0)).alias("at", "name"))
-    names = staged(segmented(runs.select("name").distinct(), words), "names")
-    joined = runs.join(names, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("all"))
+    """host, words: the words of all names in the host, numbers by their length and runs of other scripts, in order."""
+    runs = hosts.select("host", F.posexplode(_runs(F.col("host"))).alias("at", "name"))
+    is_name = F.rlike("name", F.lit("^[a-z]"))
+    names = staged(segmented(runs.where(is_name).select("name").distinct(), words), "names")
+    others = runs.where(~is_name).select("host", "at", F.array(_plain(F.col("name"))).alias("words"))
+    split = runs.where(is_name).join(names, "name").select("host", "at", "words").unionByName(others)
+    joined = split.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("all"))
     return joined.select("host", F.flatten(F.transform("all", lambda x: x["words"])).alias("words"))
 
 
+def _runs(text: Column) -> Column:
+    """Letter runs, numbers, and runs of other scripts."""
+    return F.regexp_extract_all(text, F.lit(r"[a-z]+|[0-9]+|[^\x00-\x7F]+"), 0)
+
+
+def _plain(run: Column) -> Column:
+    """A number counts by its length."""
+    return F.when(F.rlike(run, F.lit("^[0-9]")), F.concat(F.lit("#"), F.length(run).cast("string"))).otherwise(run)
+
+
 def _path_tokens(path: Column) -> Column:
-    """Letter runs, other scripts' runs, and one token for numbers of each length."""
-    runs = F.regexp_extract_all(F.translate(path, _UPPER, _LOWER), F.lit(r"[a-z]+|[0-9]+|[^\x00-\x7F]+"), 0)
-    return F.transform(
-        runs, lambda x: F.concat(F.lit("p:"), F.when(F.rlike(x, F.lit("^[0-9]")), F.concat(F.lit("#"), F.length(x).cast("string"))).otherwise(x))
-    )
+    return F.transform(_runs(F.translate(path, _UPPER, _LOWER)), lambda x: F.concat(F.lit("p:"), _plain(x)))
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

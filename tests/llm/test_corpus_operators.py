@@ -500,3 +500,29 @@ def test_repeated_passages_of_rows_without_ids(spark):
         assert len(found) == 4 and sorted(n > 0 for n in removed.values()) == [False, True, True]
         # Equal rows are treated alike.
         assert len({(r["text"], r["n_removed"]) for r in found}) == 3
+
+
+def test_hosts_of_any_length_script_and_number(spark):
+    """Long names are segmented, numbers count by length, other scripts stay, shared labels are words; weights against brute force."""
+    long = "casinobonus" * 9
+    urls = [f"http://{n}.example.net/casino/bonus" for n in ("alpha", "beta", "gamma", "delta", "shop")]
+    urls += [f"http://{long}.net/a", "http://книга12.net/b", "http://bonus-casino.net/bonus", "http://quiet.net/read/7"]
+    pages = spark.createDataFrame([(i, u, "<title>the quiet bonus</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judged(pages, ()).collect()}
+    assert found[0]["words"] == ["alpha", "example", "net"]
+    assert found[5]["words"] == ["casino", "bonus"] * 9 + ["net"] and found[5]["verdict"] == "block"
+    assert found[6]["words"] == ["книга", "#2", "net"] and found[8]["verdict"] == "allow"
+
+    def tokens(row):
+        path = re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", row["path"].lower())
+        return [f"h:{w}" for w in row["words"]] + [f"p:#{len(x)}" if x[0].isdigit() else f"p:{x}" for x in path]
+
+    bad, good = Counter(), Counter()
+    for row in found.values():
+        (bad if set(row["words"]) & set(url_filter.SEED_WORDS) else good).update(tokens(row))
+    kinds, n_bad = len(bad | good), sum(set(r["words"]) & set(url_filter.SEED_WORDS) != set() for r in found.values())
+    share = lambda n, total: np.log((n + 1) / (total + kinds + 1))
+    for row in found.values():
+        want = np.log((n_bad + 1) / (len(found) - n_bad + 1))
+        want += sum(share(bad[t], bad.total()) - share(good[t], good.total()) for t in tokens(row))
+        assert abs(row["score"] - want) < 1e-9
