@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import Settings
 from gleanery.functions.tokens import words
-from gleanery.operators import bm25, heading_tree, result_cache, vector_search
+from gleanery.operators import bm25, heading_tree, result_cache, structure, templates, vector_search
 from gleanery.operators.ann_index import AnnIndex
 from gleanery.operators.posting_blocks import PostingBlocks
 from gleanery.operators.trigram_index import TrigramIndex
@@ -94,6 +94,17 @@ def ann_documents(spark, folder):
     return index.search_many(asked, TOP_K).select("query_id", "id", _r("distance").alias("distance"), "rank")
 
 
+# ---------------------------------------------------------------- pages of a host
+
+
+@registered
+def html_without_templates(spark, folder):
+    """The main text of every page without the blocks that most pages of its host have."""
+    pages = structure.extract_pages(web_pages(spark, folder)).select("url", "main_content")
+    found = templates.without_templates(pages)
+    return found.select("url", "n_dropped", F.length("main_text").alias("n_chars"), F.md5(F.col("main_text").cast("binary")).alias("text_md5"))
+
+
 # ---------------------------------------------------------------- the service's tables
 
 

@@ -16,7 +16,7 @@ from gleanery.functions.splitter import EncodingCounter, Splitter, WordEstimate
 from gleanery.functions.tokens import STOP_WORDS, keyword_tokens, keyword_tokens_of, token_estimate, words
 from gleanery.functions.vectors import checked_metric
 from gleanery.operators import answers, bm25, change_detection, chunking, fusion, heading_tree, result_cache
-from gleanery.operators import structure, tiles, vector_search
+from gleanery.operators import structure, templates, tiles, vector_search
 from gleanery.operators.embedding import HashingEmbedder, ModelEmbedder
 from gleanery.session import spread
 from gleanery.sources.pages import html_files
@@ -613,3 +613,30 @@ def test_work_per_document_is_linear(spark):
     seconds(500)
     small = min(seconds(2_000) for _ in range(2))
     assert seconds(8_000) < 6 * small + 1.0
+
+
+def test_template_blocks_against_brute_force(spark):
+    """A hot host, small hosts, hosts at the edge of the share, pages without text, and blocks repeated within a page."""
+    rng = random.Random(14)
+    rows = []
+    for host, n in (("hot.test", 60), ("edge.test", 6), ("small.test", 4), ("", 5)):
+        for i in range(n):
+            blocks = ["menu home about", *(f"text {rng.randrange(10**6)}" for _ in range(rng.randrange(4)))]
+            blocks += ["half"] * (i % 2) + ["less"] * (3 * (i % 3 == 0)) + ["  ", "menu home about " * (i % 4 == 0)]
+            rng.shuffle(blocks)
+            rows.append((f"http://{host}/{i}" if host else f"no host {i}", "\n".join(blocks)))
+    rows += [("http://hot.test/none", None), ("http://HOT.test/empty", "")]
+    pages = spark.createDataFrame(rows, "url string, main_content string")
+    split = {u: [b.strip() for b in (t or "").split("\n") if b.strip()] for u, t in rows}
+    host = lambda u: u.split("://")[1].split("/")[0].lower() if "://" in u else ""
+    want = {}
+    for u, blocks in split.items():
+        of_host = [set(b) for v, b in split.items() if host(v) == host(u)]
+        common = lambda b: len(of_host) >= 5 and 1 < (n := sum(b in x for x in of_host)) and n >= 0.5 * len(of_host)
+        want[u] = [b for b in blocks if not common(b)]
+    for r in templates.without_templates(pages).collect():
+        blocks = want[r["url"]]
+        assert r["n_dropped"] == len(split[r["url"]]) - len(blocks)
+        assert r["main_text"] == (None if r["main_content"] is None else "\n".join(blocks))
+    found = {(r["host"], r["block"]) for r in templates.template_blocks(pages).collect()}
+    assert ("hot.test", "menu home about") in found and ("edge.test", "half") in found and not any(h == "small.test" for h, _ in found)
