@@ -13,8 +13,10 @@ from gleanery.functions.vectors import similarity
 from gleanery.operators import bm25, fusion, heading_tree, vector_search
 from gleanery.operators.heading_tree import NODE_TYPE
 from gleanery.operators.result_cache import CACHE_SCHEMA
-from gleanery.sources.keyed_table import BUCKET, KeyedTable, folder_exists
+from gleanery.sources.keyed_table import BUCKET, KeyedTable
 
+#: An empty file whose name ends in the number of a complete version of the statistics.
+CURRENT = "_current-"
 CHUNKS = (
     "source_url string, chunk_id string, seq int, text string, token_count int, title string, section_heading string, "
     "section_path string, section_level int, chunk_index int, chunk_type string, table_index int, content_hash string, "
@@ -46,8 +48,7 @@ class Store:
         self.documents = KeyedTable(spark, f"{root}/documents", DOCUMENTS, "url", n)
         self.url_state = KeyedTable(spark, f"{root}/url_state", URL_STATE, "url", n)
         self.cache = KeyedTable(spark, f"{root}/result_cache", CACHE_SCHEMA, "query_hash", 1)
-        self.term_stats_path = f"{root}/term_stats"
-        self.corpus_stats_path = f"{root}/corpus_stats"
+        self.statistics_path = f"{root}/statistics"
 
     # ---- keyword index
 
@@ -60,7 +61,8 @@ class Store:
         """Vocabulary and corpus statistics and the content fingerprint from the stored tables.
 
         Terms are counted in the postings of the rewritten `buckets` only (all by default) and summed
-        over the counts of all buckets; of the chunks only lengths and hashes are read.
+        over the counts of all buckets; of the chunks only lengths and hashes are read. The tables are written as a new version
+        beside the old one, which a marker then replaces: a question sees one version or the other.
         """
         numbers = list(range(self.settings.url_buckets)) if buckets is None else sorted(buckets)
         counted = self.postings.read(with_bucket=True).where(F.col(BUCKET).isin(numbers))
@@ -71,18 +73,42 @@ class Store:
         stats = bm25.corpus_statistics(chunks.select("dl"), frequencies)
         fingerprint = content_fingerprint(chunks).scalar()
         stats = stats.withColumn("fingerprint", fingerprint).coalesce(1)
-        stats.write.mode("overwrite").parquet(self.corpus_stats_path)
-        term_stats = bm25.term_statistics(frequencies, self.spark.read.parquet(self.corpus_stats_path), self.settings.bm25)
+        versions = self._versions()
+        new = f"{self.statistics_path}/v{(versions[-1] if versions else 0) + 1:09d}"
+        # A version without a marker is what a run left that died.
+        stats.write.mode("overwrite").parquet(f"{new}/corpus")
+        term_stats = bm25.term_statistics(frequencies, self.spark.read.parquet(f"{new}/corpus"), self.settings.bm25)
         # Range partitions by term: a point lookup opens one file.
-        term_stats.repartitionByRange(F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(self.term_stats_path)
+        ordered = term_stats.repartitionByRange(F.col("term")).sortWithinPartitions("term")
+        ordered.write.mode("overwrite").parquet(f"{new}/terms")
+        self._show_version(new, versions)
+
+    def _files(self):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.statistics_path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        """The versions of the statistics that are complete, oldest first."""
+        folder, files = self._files()
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(int(name.removeprefix(CURRENT)) for name in names if name.startswith(CURRENT))
+
+    def _show_version(self, new: str, older: list[int]) -> None:
+        """Questions read `new` from now on. The version before it stays for those that run."""
+        folder, files = self._files()
+        path = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+        files.create(path(f"{CURRENT}{new.rpartition('/v')[2]}")).close()
+        for version in older[:-1]:
+            files.delete(path(f"{CURRENT}{version:09d}"), False)
+            files.delete(path(f"v{version:09d}"), True)
 
     def has_index(self) -> bool:
-        return folder_exists(self.spark, self.corpus_stats_path)
+        return bool(self._versions())
 
     def corpus_stats(self) -> dict:
         if not self.has_index():
             return {"n": 0, "avgdl": None, "mean_idf": None, "fingerprint": "e3b0c44298fc1c14"}
-        return self.spark.read.parquet(self.corpus_stats_path).first().asDict()
+        return self.spark.read.parquet(f"{self.statistics_path}/v{self._versions()[-1]:09d}/corpus").first().asDict()
 
     # ---- retrieval branches
 
@@ -125,10 +151,10 @@ class Store:
 
     def keyword_hits(self, question: str, top_k: int, url_filter: str | None = None) -> DataFrame:
         rows = self.postings.read() if url_filter is None else self.postings.read_key(url_filter)
-        scored = bm25.score_postings(
-            rows, self.spark.read.parquet(self.term_stats_path), self.spark.read.parquet(self.corpus_stats_path),
-            question, ["source_url", "chunk_id"], self.settings.bm25,
-        )
+        # Both tables of one version.
+        version = f"{self.statistics_path}/v{self._versions()[-1]:09d}"
+        terms, corpus = (self.spark.read.parquet(f"{version}/{name}") for name in ("terms", "corpus"))
+        scored = bm25.score_postings(rows, terms, corpus, question, ["source_url", "chunk_id"], self.settings.bm25)
         return bm25.top_hits(scored, top_k, keep=("source_url",))
 
     def tree_ranks(self, question: str, top_k: int, url_filter: str | None = None) -> DataFrame:

@@ -85,6 +85,8 @@ class Gleanery:
         self.started_at = clock()
         self.last_ingestion: IngestionReport | None = None
         self._ingesting = threading.Lock()
+        # A cache write reads, changes and rewrites: two at once in this process would lose one.
+        self._caching = threading.Lock()
 
     # ------------------------------------------------------------ ingestion
 
@@ -205,9 +207,10 @@ class Gleanery:
             hit = result_cache.usable_similar(best, cache, request, fp, at, s).select(*wanted).first()
         if hit is None:
             return None
-        entry = cache.where(F.col("query_hash") == hit["query_hash"])
-        kept = cut_lineage(result_cache.with_hits(entry, [hit["query_hash"]], now))
-        self.store.cache.replace(kept, kept)
+        with self._caching:
+            entry = self.store.cache.read().where(F.col("query_hash") == hit["query_hash"])
+            kept = cut_lineage(result_cache.with_hits(entry, [hit["query_hash"]], now))
+            self.store.cache.replace(kept, kept)
         return {**hit.asDict(), "sources": self._sources(hit["sources_json"])}
 
     @staticmethod
@@ -220,8 +223,9 @@ class Gleanery:
             F.lit(sources_json).alias("sources_json"), F.lit(fingerprint).alias("content_fingerprint"), "top_k",
             "url_filter", F.lit(float(self.clock())).alias("created_at"),
         )
-        cache = result_cache.stored(self.store.cache.read(), entry)
-        self.store.cache.rewrite(cut_lineage(result_cache.evicted(cache, self.settings.cache.max_entries)))
+        with self._caching:
+            cache = result_cache.stored(self.store.cache.read(), entry)
+            self.store.cache.rewrite(cut_lineage(result_cache.evicted(cache, self.settings.cache.max_entries)))
 
     def invalidate_cache(self) -> None:
         self.store.cache.clear()

@@ -1,6 +1,7 @@
 import io
 import json
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark import cloudpickle
@@ -335,3 +336,37 @@ def test_chunk_rows_keep_typed_metadata(loaded):
     assert len(row["embedding"]) == 32 and row["table_index"] is None
     found = app.store.search_text(app.embedder.embed_query("goal saver"), 5, F.col("section_level") == 2, "conditions")
     assert [r["section_heading"] for r in found.collect()] == ["Goal saver"]
+
+
+def test_statistics_change_version_by_version(spark, tmp_path):
+    """The version before stays for questions that run; an incomplete one is not seen; older ones go."""
+    app = make(spark, tmp_path)
+    app.ingest(pages(spark, home=HOME_HTML))
+    running = spark.read.parquet(str(tmp_path / "statistics" / "v000000001" / "terms"))
+    app.ingest(pages(spark, home=HOME_HTML, loans=LOANS_HTML))
+    assert app.store._versions() == [1, 2] and running.count() > 0
+    (tmp_path / "statistics" / "v000000003" / "corpus").mkdir(parents=True)
+    assert app.store.corpus_stats()["n"] == app.store.chunks.read().count()
+    app.ingest(pages(spark, home=HOME_HTML.replace("bonus", "extra"), loans=LOANS_HTML))
+    assert app.store._versions() == [2, 3] and not (tmp_path / "statistics" / "v000000001").exists()
+    assert app.store.keyword_hits("loan refund", 5).count() > 0
+
+
+def test_hits_at_once_are_all_counted(spark, tmp_path):
+    app = make(spark, tmp_path)
+    app.ingest(pages(spark, home=HOME_HTML))
+    app.query("bonus interest rate", use_page_index=False)
+    with ThreadPoolExecutor(3) as pool:
+        replies = list(pool.map(lambda _: app.query("bonus interest rate", use_page_index=False), range(3)))
+    assert all(r.cache_hit for r in replies)
+    assert app.store.cache.read().first()["hit_count"] == 3
+
+
+def test_a_deleted_url_is_in_no_table(spark, tmp_path):
+    app = make(spark, tmp_path)
+    app.ingest(pages(spark, home=HOME_HTML, loans=LOANS_HTML))
+    app.delete_url(LOANS)
+    store = app.store
+    for table, key in ((store.chunks, "source_url"), (store.postings, "source_url"), (store.trees, "url"), (store.documents, "url"), (store.url_state, "url")):
+        assert {r[0] for r in table.read().select(key).distinct().collect()} == {HOME}
+    assert [r[0] for r in app.indexed_urls().collect()] == [HOME]
