@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from gleanery.config import Bm25Settings
 from gleanery.operators import bm25
-from gleanery.session import Scratch
 
 RANGE_DOCS = 64
 MOST_RANGES = 65_536
@@ -57,8 +56,11 @@ def _range_of(lengths: DataFrame, keys: list[str]) -> Column:
 
 
 def blocks_of(posting_rows: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """term, range, n, max_tf, min_dl, postings: of postings (keys, term, tf, dl); lengths: dl and keys of every document."""
-    ranged = posting_rows.withColumn("range", _range_of(lengths, keys))
+    """term, range, n, max_tf, min_dl, postings: of postings (keys, term, tf, dl); lengths: dl and keys of every document.
+
+    The partitions are ranges of terms: a question opens few files. Their exchange is also that of the groups.
+    """
+    ranged = posting_rows.withColumn("range", _range_of(lengths, keys)).repartitionByRange("term", "range")
     return ranged.groupBy("term", "range").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("tf").alias("max_tf"),
@@ -80,11 +82,8 @@ class PostingBlocks:
         lengths = tokenised.select(*keys, F.size("tokens").alias("dl"))
         lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         lengths = index._table("lengths")
-        with Scratch(index.spark) as scratch:
-            # Range partitions are drawn from a sample, which would compute the blocks twice.
-            blocks = scratch.table(blocks_of(bm25.postings(tokenised, keys), lengths, keys), "blocks")
-            ordered = blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
-            ordered.write.mode("overwrite").parquet(f"{path}/blocks")
+        blocks = blocks_of(bm25.postings(tokenised, keys), lengths, keys).sortWithinPartitions("term", "range")
+        blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         frequencies = index._table("blocks").groupBy("term").agg(F.sum("n").alias("df"))
         stats = bm25.corpus_statistics(lengths, frequencies)
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.generate import bound, exploded
-from gleanery.session import Scratch
 
 PART_DOCS = 4_096
 MOST_PARTS = 4_096
@@ -49,11 +48,10 @@ class TrigramIndex:
         rows.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
         pairs = exploded(index.texts(), trigrams(F.col("text")), "trigram", ("part", "id"))
         # A group is one trigram within one part: at most its PART_DOCS texts or so.
-        with Scratch(index.spark) as scratch:
-            # Range partitions are drawn from a sample, which would compute the blocks twice.
-            blocks = scratch.table(pairs.groupBy("trigram", "part").agg(F.array_sort(F.collect_list("id")).alias("ids")), "blocks")
-            ordered = blocks.repartitionByRange("trigram", "part").sortWithinPartitions("trigram", "part")
-            ordered.write.mode("overwrite").parquet(f"{path}/blocks")
+        # The exchange by ranges, which lets a needle open few files, is also that of the groups.
+        ranged = pairs.repartitionByRange("trigram", "part")
+        blocks = ranged.groupBy("trigram", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        blocks.sortWithinPartitions("trigram", "part").write.mode("overwrite").parquet(f"{path}/blocks")
         counts = index._table("blocks").groupBy("trigram").agg(F.sum(F.size("ids")).alias("n"))
         counts.repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{path}/frequencies")
         return index
