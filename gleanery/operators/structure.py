@@ -24,15 +24,15 @@ def nested_sections(sections: Column) -> Column:
 
     The open headings are kept as a stack of strictly increasing levels; the parent of a heading is
     the nearest earlier one of smaller level, and its path joins the headings from the root down.
+
+    A fold copies what it has gathered at each step, so it runs in two levels: over blocks of about
+    the square root of the headings, and within each block, with the stack handed from block to block.
     """
-    start = F.struct(
-        F.array().cast(f"array<{SECTION_TYPE}>").alias("done"),
-        F.array().cast(f"array<{_STACK_TYPE}>").alias("open"),
-    )
+    no_rows, no_open = F.array().cast(f"array<{SECTION_TYPE}>"), F.array().cast(f"array<{_STACK_TYPE}>")
 
     def step(state: Column, section: Column) -> Column:
         above = F.filter(state["open"], lambda o: o["level"] < section["level"])
-        pos = F.size(state["done"])
+        pos = state["first"] + F.size(state["done"])
         trail = F.concat(F.transform(above, lambda o: o["heading"]), F.array(section["heading"]))
         row = F.struct(
             pos.alias("pos"),
@@ -47,10 +47,25 @@ def nested_sections(sections: Column) -> Column:
             pos.alias("pos"), section["level"].cast("int").alias("level"), section["heading"].alias("heading")
         ).cast(_STACK_TYPE)
         return F.struct(
-            F.concat(state["done"], F.array(row)).alias("done"), F.concat(above, F.array(entry)).alias("open")
+            state["first"].alias("first"),
+            F.concat(state["done"], F.array(row)).alias("done"),
+            F.concat(above, F.array(entry)).alias("open"),
         )
 
-    return F.aggregate(sections, start, step, lambda state: state["done"])
+    def block_step(state: Column, block: Column) -> Column:
+        start = F.struct(block["first"].alias("first"), no_rows.alias("done"), state["open"].alias("open"))
+        done = F.aggregate(block["rows"], start, step)
+        return bound(done, lambda d: F.struct(F.concat(state["blocks"], F.array(d["done"])).alias("blocks"), d["open"].alias("open")))
+
+    def folded(held: Column) -> Column:
+        n = F.size(held)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, width)).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice(held, i + 1, width).alias("rows")))
+        start = F.struct(F.array().cast(f"array<array<{SECTION_TYPE}>>").alias("blocks"), no_open.alias("open"))
+        return F.aggregate(blocks, start, block_step, lambda state: F.flatten(state["blocks"]))
+
+    return F.when(sections.isNotNull(), bound(sections, folded))
 
 
 def table_markdown(table: Column) -> Column:

@@ -222,6 +222,8 @@ def stack_parents(levels):
 def test_nesting_matches_a_stack_on_random_levels(spark):
     rng = random.Random(3)
     cases = [[rng.randint(1, 6) for _ in range(rng.randint(0, 14))] for _ in range(200)]
+    # Whole and broken blocks of the fold, also with levels that have no end.
+    cases += [[rng.randint(1, 40) for _ in range(n)] for n in (15, 16, 17, 99, 100, 101, 700)]
     rows = [(i, [(f"h{j}", level, "") for j, level in enumerate(levels)]) for i, levels in enumerate(cases)]
     df = spark.createDataFrame(rows, "i int, s array<struct<heading:string,level:int,content:string>>")
     for r in df.select("i", structure.nested_sections(F.col("s")).alias("s")).collect():
@@ -615,6 +617,21 @@ def test_work_per_document_is_linear(spark):
     assert seconds(8_000) < 6 * small + 1.0
 
 
+def test_nesting_of_many_headings_is_nearly_linear(spark):
+    """Eight times the headings of a page take some eight times as long, not sixty-four."""
+
+    def seconds(n: int) -> float:
+        one = lambda i: F.struct(F.concat(F.lit("h"), i.cast("string")).alias("heading"), (i % 5 + 1).alias("level"), F.lit("x").alias("content"))
+        page = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.col("id").cast("int") + n), one).alias("s"))
+        started = time.perf_counter()
+        assert page.select(F.size(structure.nested_sections(F.col("s")))).first()[0] == n
+        return time.perf_counter() - started
+
+    seconds(500)
+    small = min(seconds(2_000) for _ in range(2))
+    assert seconds(16_000) < 12 * small + 1.0
+
+
 def test_template_blocks_against_brute_force(spark):
     """A hot host, small hosts, hosts at the edge of the share, pages without text, and blocks repeated within a page."""
     rng = random.Random(14)
