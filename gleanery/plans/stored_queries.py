@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import Settings
 from gleanery.functions.tokens import words
-from gleanery.operators import bm25, heading_tree, result_cache, structure, templates, vector_search
+from gleanery.operators import bm25, heading_tree, latent, result_cache, structure, templates, vector_search
 from gleanery.operators.ann_index import AnnIndex
 from gleanery.operators.posting_blocks import PostingBlocks
 from gleanery.operators.trigram_index import TrigramIndex
@@ -94,6 +94,36 @@ def ann_documents(spark, folder):
     return index.search_many(asked, TOP_K).select("query_id", "id", _r("distance").alias("distance"), "rank")
 
 
+# ---------------------------------------------------------------- latent vectors
+
+
+def _latent(spark: SparkSession, folder: str) -> tuple[DataFrame, latent.LatentEmbedder]:
+    """Stored latent vectors of all documents, and the provider fitted on them."""
+    tokens = _tokens(spark, folder)
+    fitted = latent.fit(tokens)
+    path = _folder(spark, "latent")
+    tokens.select("chunk_id", fitted.of_tokens(F.col("tokens")).alias("embedding")).write.parquet(path)
+    return spark.read.parquet(path), fitted
+
+
+@registered
+def latent_topk(spark, folder):
+    """The documents nearest to the question by latent vectors that are learned from all documents."""
+    vectors, fitted = _latent(spark, folder)
+    hits = vector_search.search(vectors, fitted.embed_query(QUESTION), TOP_K)
+    return hits.select("chunk_id", _r("distance").alias("distance"))
+
+
+@registered
+def latent_neighbours(spark, folder):
+    """Ten neighbours of every document whose id is divisible by 50, among all documents, by latent vectors."""
+    vectors, _ = _latent(spark, folder)
+    asked = vectors.where("CAST(chunk_id AS BIGINT) % 50 = 0")
+    asked = asked.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vector_search.search_many(vectors, asked, TOP_K)
+    return found.select("query_id", "id", _r("distance").alias("distance"), "rank")
+
+
 # ---------------------------------------------------------------- pages of a host
 
 
