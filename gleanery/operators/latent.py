@@ -6,9 +6,8 @@ orthonormal; a last pass gives V'A'A V, whose eigenvectors turn V to the singula
 
 Scale: all texts count, in the document frequencies and in every round. A round is one narrow pass over staged bucket lists: a task multiplies
 its rows by V and adds into a sum of its own, of which only the buckets it met are shuffled, at most `buckets` rows a task; neither
-texts nor weights are shuffled. V has buckets * (dimension + oversample) numbers whatever the corpus (21 MB by default): that is
-what the driver makes orthonormal and what tasks are sent. Sums are integers (fixed point, as fine as the number of texts allows), so neither
-the partitions nor the order of tasks change a bit of them.
+texts nor weights are shuffled. As these sums are as large for few texts as for many, a task takes `TASK_TOKENS` tokens at least. V has buckets * (dimension + oversample) numbers whatever the corpus (21 MB by default): that is
+what the driver makes orthonormal and what tasks are sent. Sums are integers (fixed point), so neither the partitions nor the order of tasks change a bit of them.
 
 Defined results: a text without tokens, or null, has the zero vector; so has every text of an empty corpus. Repeated rows count repeatedly. Only
 the token column is read; other columns pass through the embedder untouched.
@@ -32,6 +31,10 @@ from gleanery.session import Scratch
 
 #: Weights that are multiplied at once within a task; a text has at most `buckets` of them.
 SLICE = 1 << 16
+#: Tokens of a task in a round, at least.
+TASK_TOKENS = 1 << 22
+#: Fixed point: 24 bits after the point leave room for the sum of 2^39 texts.
+SCALE = float(1 << 24)
 _SEED = 42
 
 
@@ -91,24 +94,19 @@ def projected(ends: np.ndarray, bucket: np.ndarray, weight: np.ndarray, basis: n
     return rows
 
 
-def _staged_buckets(tokenised: DataFrame, tokens: str, settings: LatentSettings, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
-    """The bucket list of every text with tokens, the idf of each bucket, and the number of texts."""
-    m = settings.buckets
-    listed = scratch.table(tokenised.select(buckets_of(F.col(tokens), m).alias("buckets")), "buckets")
-    n = listed.count()
-    counts = exploded(listed, F.array_distinct("buckets"), "bucket").groupBy("bucket").agg(F.count("*").alias("df"))
-    # At most `buckets` rows.
-    found = counts.toArrow()
-    df = np.zeros(m)
+def inverse_frequencies(listed: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """The idf of each bucket. At most `buckets` rows come to the driver."""
+    found = exploded(listed, F.array_distinct("buckets"), "bucket").groupBy("bucket").agg(F.count("*").alias("df")).toArrow()
+    df = np.zeros(buckets)
     df[found["bucket"].to_numpy()] = found["df"].to_numpy()
-    return listed.where(F.size("buckets") > 0), np.log((1.0 + n) / (1.0 + df)), n
+    return np.log((1.0 + n) / (1.0 + df))
 
 
-def _round(listed: DataFrame, idf: np.ndarray, basis: np.ndarray, scale: float) -> np.ndarray:
+def _round(listed: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A V) over all rows."""
     context = listed.sparkSession.sparkContext
     m, width = basis.shape
-    sent = context.broadcast((idf, basis))
+    sent = context.broadcast((idf, basis.astype(np.float32)))
     schema = pa.schema([("bucket", pa.int32()), ("sums", pa.list_(pa.int64()))])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +114,13 @@ def _round(listed: DataFrame, idf: np.ndarray, basis: np.ndarray, scale: float)
         total, met = np.zeros((m, width), dtype=np.int64), np.zeros(m, dtype=bool)
         for batch in batches:
             ends, bucket, weight = weights_of(batch.column(0), idf)
-            rows = projected(ends, bucket, weight, basis)
+            rows = projected(ends, bucket, weight, basis) * SCALE
             owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             for start in range(0, len(bucket), SLICE):
-                part = slice(start, start + SLICE)
-                order = np.argsort(bucket[part], kind="stable")
-                at, begins = np.unique(bucket[part][order], return_index=True)
-                added = np.rint(weight[part, None] * rows[owner[part]] * scale).astype(np.int64)
-                total[at] += np.add.reduceat(added[order], begins, axis=0)
+                order = start + np.argsort(bucket[start : start + SLICE], kind="stable")
+                at, begins = np.unique(bucket[order], return_index=True)
+                added = np.rint(weight[order, None] * rows[owner[order]]).astype(np.int64)
+                total[at] += np.add.reduceat(added, begins, axis=0)
                 met[at] = True
         at = np.flatnonzero(met)
         for start in range(0, len(at), 4096):
@@ -138,30 +135,36 @@ def _round(listed: DataFrame, idf: np.ndarray, basis: np.ndarray, scale: float)
     product = np.zeros((m, width))
     at = found["bucket"].to_numpy()
     for i in range(width):
-        product[at, i] = found[f"s{i}"].to_numpy() / scale
-    sent.unpersist()
+        product[at, i] = found[f"s{i}"].to_numpy() / SCALE
+    sent.destroy()
     return product
 
 
 def fit(tokenised: DataFrame, settings: LatentSettings = LatentSettings(), tokens: str = "tokens") -> "LatentEmbedder":
     """The basis of a corpus of token arrays."""
-    width = settings.dimension + settings.oversample
     with Scratch(tokenised.sparkSession) as scratch:
-        listed, idf, n = _staged_buckets(tokenised, tokens, settings, scratch)
-        # No sum of n numbers up to 1 leaves 62 bits.
-        scale = float(1 << min(40, 62 - n.bit_length()))
-        start = np.random.default_rng(_SEED).normal(size=(settings.buckets, width))
-        basis = np.linalg.qr(start)[0]
-        for _ in range(settings.rounds):
-            basis = np.linalg.qr(_round(listed, idf, basis, scale))[0]
-        gram = basis.T @ _round(listed, idf, basis, scale)
+        listed = tokenised.select(buckets_of(F.col(tokens), settings.buckets).alias("buckets"))
+        return fit_buckets(scratch.table(listed, "buckets"), settings)
+
+
+def fit_buckets(listed: DataFrame, settings: LatentSettings = LatentSettings()) -> "LatentEmbedder":
+    """The basis of a stored table with the array `buckets` of every text; it is read once a round."""
+    width = settings.dimension + settings.oversample
+    n, tokens = listed.agg(F.count("*"), F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()
+    listed = listed.select("buckets").where(F.size("buckets") > 0)
+    idf = inverse_frequencies(listed, n, settings.buckets)
+    dealt = listed.coalesce(max(1, -(-tokens // TASK_TOKENS)))
+    basis = np.linalg.qr(np.random.default_rng(_SEED).normal(size=(settings.buckets, width)))[0]
+    for _ in range(settings.rounds):
+        basis = np.linalg.qr(_round(dealt, idf, basis))[0]
+    gram = basis.T @ _round(dealt, idf, basis)
     values, turn = np.linalg.eigh((gram + gram.T) / 2)
     best = np.argsort(-values, kind="stable")[: settings.dimension]
     directions = basis @ turn[:, best]
     # Singular vectors have no sign of their own: the largest entry is positive.
     largest = directions[np.abs(directions).argmax(axis=0), np.arange(len(best))]
     directions *= np.where(largest < 0, -1.0, 1.0)
-    return LatentEmbedder(tokenised.sparkSession, idf, directions, np.sqrt(np.maximum(values[best], 0.0)), settings)
+    return LatentEmbedder(listed.sparkSession, idf, directions, np.sqrt(np.maximum(values[best], 0.0)), settings)
 
 
 class LatentEmbedder:
@@ -169,20 +172,23 @@ class LatentEmbedder:
 
     def __init__(self, spark: SparkSession, idf: np.ndarray, directions: np.ndarray, singular: np.ndarray, settings: LatentSettings) -> None:
         self.spark, self.idf, self.directions, self.singular, self.settings = spark, idf, directions, singular, settings
-        self._sent = spark.sparkContext.broadcast((idf, directions))
+        self._sent = spark.sparkContext.broadcast((idf, directions.astype(np.float32)))
 
     @property
     def dimension(self) -> int:
         return self.settings.dimension
 
     def of_tokens(self, tokens: Column) -> Column:
+        return self.of_buckets(buckets_of(tokens, self.settings.buckets))
+
+    def of_buckets(self, buckets: Column) -> Column:
         sent, normalize = self._sent, self.settings.normalize
 
         @F.arrow_udf("array<float>")
         def latent(batch: pa.Array) -> pa.Array:
             return as_list_array(_vectors(batch, *sent.value, normalize))
 
-        return latent(buckets_of(tokens, self.settings.buckets))
+        return latent(buckets)
 
     def column(self, text: Column) -> Column:
         return self.of_tokens(keyword_tokens(F.coalesce(text, F.lit(""))))

@@ -99,11 +99,13 @@ def ann_documents(spark, folder):
 
 def _latent(spark: SparkSession, folder: str) -> tuple[DataFrame, latent.LatentEmbedder]:
     """Stored latent vectors of all documents, and the provider fitted on them."""
-    tokens = _tokens(spark, folder)
-    fitted = latent.fit(tokens)
     path = _folder(spark, "latent")
-    tokens.select("chunk_id", fitted.of_tokens(F.col("tokens")).alias("embedding")).write.parquet(path)
-    return spark.read.parquet(path), fitted
+    listed = latent.buckets_of(F.col("tokens"), latent.LatentSettings().buckets)
+    _tokens(spark, folder).select("chunk_id", listed.alias("buckets")).write.parquet(f"{path}/buckets")
+    stored = spark.read.parquet(f"{path}/buckets")
+    fitted = latent.fit_buckets(stored)
+    stored.select("chunk_id", fitted.of_buckets(F.col("buckets")).alias("embedding")).write.parquet(f"{path}/vectors")
+    return spark.read.parquet(f"{path}/vectors"), fitted
 
 
 @registered
