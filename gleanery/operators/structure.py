@@ -157,10 +157,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     passed = [c for c in pages.columns if c != "html"]
     read = pages.withColumn("_page", extracted(F.col("html"), F.col("url")))
-    fields = ("title", "description", "main_content", "content_hash", "sections", "tables", "links", "error")
+    fields = ("title", "description", "main_content", "content_hash", "sections", "tables", "error")
+    named = F.filter("_page.anchors", lambda a: a["text"] != "")
+    links = F.transform(named, lambda a: F.struct(a["text"].alias("text"), a["href"].alias("href")))
     return read.select(
-        *passed, F.col("_page").isNotNull().alias("fetched"), *[F.col("_page")[f].alias(f) for f in fields]
-    )
+        *passed, F.col("_page").isNotNull().alias("fetched"), *[F.col("_page")[f].alias(f) for f in fields],
+        links.alias("links"), F.col("_page.anchors").alias("anchors"),
+    )
 
 
 def structure_documents(extracted_pages: DataFrame) -> DataFrame:
