@@ -74,6 +74,8 @@ class Settings:
     # Directory-level partitions of every url-keyed table. One re-ingested url rewrites one
     # partition, so this bounds write amplification; raise it with the size of the corpus.
     url_buckets: int = 16
+    # Pages whose main text is shorter than this many tokens get no chunks, whatever their headings add to them.
+    min_page_tokens: int = 0
     fetch: FetchSettings = field(default_factory=FetchSettings)
     chunking: ChunkSettings = field(default_factory=ChunkSettings)
     embedding: EmbeddingSettings = field(default_factory=EmbeddingSettings)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators import change_detection, chunking, heading_tree, structure
-from gleanery.functions.tokens import keyword_tokens
+from gleanery.functions.tokens import keyword_tokens, token_estimate
 from gleanery.plans.store import Store
 from gleanery.session import Scratch, cut_lineage, spread
 from gleanery.sources.pages import as_pages
@@ -79,9 +79,13 @@ def _run(store: Store, pages: DataFrame, embedder, force: bool, sync: bool, coun
     emptied = {c: F.when(wanted, F.col(c)).otherwise(F.array().cast(classified.schema[c].dataType)) for c in ("sections", "tables")}
     fresh = structure.structure_documents(classified.withColumns(emptied))
     fresh = fresh.withColumn("plain_text", F.when(wanted, F.col("plain_text")))
+    chunked = chunking.chunk_documents(fresh, s.chunking, counter)
+    if s.min_page_tokens > 0:
+        long_enough = token_estimate(F.coalesce("main_content", F.lit(""))) >= s.min_page_tokens
+        chunked = chunked.withColumn("chunks", F.when(long_enough, F.col("chunks")).otherwise(F.slice("chunks", 1, 0)))
     # Materialised because several writes need it, and because the state it was compared with is
     # about to change.
-    staged = scratch.table(chunking.chunk_documents(fresh, s.chunking, counter), "documents")
+    staged = scratch.table(chunked, "documents")
 
     # A page without chunks fails; its document is kept all the same and its old chunks stay.
     outcome = F.when((F.col("outcome") == "processed") & (F.size("chunks") == 0), "failed").otherwise(F.col("outcome"))

@@ -253,12 +253,15 @@ class Gleanery:
 
     def delete_url(self, url: str) -> None:
         """Remove one url from every table."""
-        one = self.spark.createDataFrame([(url,)], "url string")
-        self.store.chunks.replace(one.withColumnRenamed("url", "source_url"))
-        rewritten = self.store.postings.replace(one.withColumnRenamed("url", "source_url"))
-        self.store.trees.replace(one)
-        self.store.documents.replace(one)
-        self.store.url_state.replace(one)
+        self.delete_urls(self.spark.createDataFrame([(url,)], "url string"))
+
+    def delete_urls(self, urls: DataFrame) -> None:
+        """Remove the urls of a table from every table of the store, in one rewrite of each."""
+        sources = urls.select(F.col("url").alias("source_url"))
+        self.store.chunks.replace(sources)
+        rewritten = self.store.postings.replace(sources)
+        for kept in (self.store.trees, self.store.documents, self.store.url_state):
+            kept.replace(urls)
         if self.store.has_index():
             self.store.refresh_statistics(rewritten)
 
