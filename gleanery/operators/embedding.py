@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import EmbeddingSettings
+from gleanery.functions.batches import in_slices
 from gleanery.functions.tokens import keyword_tokens, keyword_tokens_of
 from gleanery.functions.vectors import as_list_array, hash_token_lists
 
@@ -29,7 +30,9 @@ class HashingEmbedder:
 
         @F.arrow_udf("array<float>")
         def hashed(batch: pa.Array) -> pa.Array:
-            return as_list_array(hash_token_lists(batch, dim, normalize))
+            known: dict = {}
+            some = lambda part: as_list_array(hash_token_lists(part, dim, normalize, known))
+            return in_slices(some, pa.list_(pa.float32()), batch)
 
         return hashed(tokens)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import TreeSettings
+from gleanery.functions.batches import in_slices, slices
 from gleanery.functions.generate import bound, exploded, inlined
 from gleanery.functions.page_arrays import ids_by_name
 from gleanery.functions.tokens import words
@@ -217,9 +218,12 @@ _ARROW_TREE = pa.struct(
 def flatten_trees(text: DataFrame, column: str = "value") -> DataFrame:
     """Nested tree JSON, one tree per row -> url, title, summary, nodes."""
 
+    def some(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _flatten_tree(json.loads(v)) for v in values.to_pylist()], _ARROW_TREE)
+
     @F.arrow_udf(TREE_TYPE)
     def flat(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else _flatten_tree(json.loads(v)) for v in values.to_pylist()], _ARROW_TREE)
+        return in_slices(some, _ARROW_TREE, values)
 
     return text.select(flat.asNondeterministic()(F.col(column)).alias("tree")).select("tree.*")
 
@@ -229,7 +233,9 @@ def nested_json(trees: DataFrame) -> DataFrame:
 
     def nested(batches):
         for batch in batches:
-            texts = [json.dumps(_nest_tree(t), ensure_ascii=False, indent=2) for t in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["url", "value"])
+            for cut in slices(batch.num_rows, batch.nbytes):
+                part = batch.slice(*cut)
+                texts = [json.dumps(_nest_tree(t), ensure_ascii=False, indent=2) for t in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["url", "value"])
 
     return trees.select("url", "title", "summary", "nodes").mapInArrow(nested, "url string, value string")
