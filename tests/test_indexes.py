@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,30 @@ def test_trigrams_read_only_the_parts_with_candidates(spark, tmp_path, monkeypat
     assert "PartitionFilters: [part" in plan or "PartitionFilters: [isnotnull(part" in plan
     parts = {r["part"] for r in index.candidates("number 117 of").collect()}
     assert len(parts) <= 2 and len({f.split("part=")[1].split("/")[0] for f in index.texts().inputFiles()}) == 20
+
+
+def test_trigrams_of_a_slice_are_those_of_each_text():
+    texts = ["", "ab", "abc", "abcabc", "語a\U0001f600語a\U0001f600", "aaaa", "\x00\x00\x00", "x" * 5 + "ab"]
+    codes, places = trigram_index.trigrams(pa.array(texts))
+    want = {(trigram_index.trigram_code(t[i : i + 3]), n) for n, t in enumerate(texts) for i in range(len(t) - 2)}
+    assert list(zip(codes.tolist(), places.tolist())) == sorted(want)
+
+
+def test_trigram_pairs_stay_in_the_task_that_read_the_text(spark, tmp_path, monkeypatch):
+    """A part is listed in runs of a bounded number of pairs: no block grows with a trigram's frequency, and no pair is shuffled."""
+    sizes = []
+    listed = trigram_index._Run.blocks
+    monkeypatch.setattr(trigram_index._Run, "blocks", lambda run: (sizes.append(run.pairs), listed(run))[1])
+    monkeypatch.setattr(trigram_index, "RUN_PAIRS", 100)
+    monkeypatch.setattr(trigram_index, "TaskContext", type("T", (), {"get": lambda: type("C", (), {"partitionId": lambda self: 3})()}))
+    texts = [f"common words and number {i}" for i in range(1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i // 500 for i in range(1_000)], pa.int32()), pa.array(range(1_000)), pa.array(texts)], names=["part", "id", "text"])
+    rows = [r for b in trigram_index._blocks(iter([batch])) for r in b.to_pylist()]
+    assert len(sizes) == 4 and sum(sizes) == sum(len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts)
+    common = [r for r in rows if r["trigram"] == trigram_index.trigram_code("com")]
+    assert sorted(i for r in common for i in r["ids"]) == list(range(1_000)) and max(r["n"] for r in common) <= 256
+    assert len({(r["part"], r["run"]) for r in common}) == len(common) == 4 and all(r["run"] >> 32 == 3 for r in common)
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    index = trigram_index.TrigramIndex.build(docs, str(tmp_path / "trigrams"))
+    assert [r["id"] for r in index.containing("number 117").collect()] == [117]
+    assert index.candidates("common").count() == 1_000
