@@ -120,3 +120,31 @@ def test_registered_neighbours_against_brute_force(spark, tokens):
         assert np.allclose([distances[at[i]] for _, i, _ in hits], [d for _, _, d in hits], atol=1e-5)
     top = QUERIES["latent_topk"](spark, DATA).collect()
     assert len(top) == 10 and [r["distance"] for r in top] == sorted(r["distance"] for r in top)
+
+
+def test_blocks_of_any_size_add_the_same_bits():
+    """A round's sums are exact, however the texts are cut into blocks, and those of the dense product."""
+    rng = np.random.default_rng(8)
+    m, lists = 300, [rng.integers(0, 300, size=k).tolist() for k in (1, 40, 900, 7, 3, 250, 250, 12)]
+    ends, bucket, weight = latent.weights_of(pa.array(lists, pa.list_(pa.int32())), rng.random(m) + 0.1)
+    basis = np.linalg.qr(rng.normal(size=(m, 5)))[0]
+    fixed = np.rint(basis * latent.BASIS)
+    sums = []
+    for rows in (1, 3, 8):
+        total, place, met = np.zeros((m, 5), np.int64), np.zeros(m, np.int32), set()
+        for first in range(0, len(ends), rows):
+            lo, hi = (ends[first - 1] if first else 0), ends[min(first + rows, len(ends)) - 1]
+            met |= set(latent._add_block(total, ends[first : first + rows] - lo, bucket[lo:hi], weight[lo:hi], fixed, place).tolist())
+        assert met == set(bucket.tolist()) and not place.any()
+        sums.append(total)
+    assert np.array_equal(sums[0], sums[1]) and np.array_equal(sums[0], sums[2])
+    matrix = np.zeros((len(ends), m))
+    matrix[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), bucket] = weight
+    assert np.allclose(sums[0] / (latent.WEIGHT * latent.ROW), matrix.T @ (matrix @ basis), atol=1e-3)
+
+
+def test_buckets_are_counted_once_per_text(spark):
+    lists = [[5, 5, 1], [], None, [2], [6, 0, 6, 6]] * 300
+    df = spark.createDataFrame([(x,) for x in lists], "buckets array<int>")
+    rows = [(r["cells"], r["counts"]) for r in latent.counted(df, 7).collect()]
+    assert sorted(rows) == sorted([([1, 5], [1, 2]), ([2], [1]), ([0, 6], [1, 3])] * 300)
