@@ -148,6 +148,32 @@ def test_blocks_of_a_question_are_found_by_term_and_range(spark, worded, tmp_pat
     assert "In(range, [1,2,3])" in plan
 
 
+def test_terms_are_counted_where_the_text_is(spark, worded):
+    """Distinct terms and their numbers row by row, without an exchange; rows without tokens stay."""
+    rows = bm25.with_tokens(worded)
+    counted = bm25.counted(rows, ["chunk_id"])
+    assert "Exchange" not in plan_of(counted).split("Physical Plan")[1]
+    want = {r["chunk_id"]: r["tokens"] for r in rows.collect()}
+    got = {r["chunk_id"]: (r["dl"], dict(zip(r["terms"], r["tfs"]))) for r in counted.collect()}
+    assert got == {i: (len(t), {w: t.count(w) for w in set(t)}) for i, t in want.items()}
+
+
+def test_blocks_of_runs_are_those_of_all_postings(spark, worded, monkeypatch):
+    """Only counts move, to their range; rows of the same keys and length are one document; runs of few postings change nothing."""
+    monkeypatch.setattr(posting_blocks, "RUN_POSTINGS", 500)
+    monkeypatch.setattr(posting_blocks, "BATCH_POSTINGS", 50)
+    doubled = worded.unionByName(worded.where("chunk_id IN ('d1', 'd2', 'f1')")).withColumn("chunk_id", F.expr("CASE WHEN chunk_id = 'd5' THEN null ELSE chunk_id END"))
+    tokens = bm25.with_tokens(doubled)
+    blocks = posting_blocks.blocks_of(bm25.counted(tokens, ["chunk_id"]), tokens.select("chunk_id", F.size("tokens").alias("dl")), ["chunk_id"])
+    assert plan_of(blocks).split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+    found = blocks.collect()
+    assert len({(r["term"], r["range"]) for r in found}) == len(found)
+    for r in found:
+        assert r["n"] == len(r["postings"]) and r["max_tf"] == max(p["tf"] for p in r["postings"]) and r["min_dl"] == min(p["dl"] for p in r["postings"])
+    got = sorted((str(p["chunk_id"]), p["dl"], r["term"], p["tf"]) for r in found for p in r["postings"])
+    assert got == sorted((str(r["chunk_id"]), r["dl"], r["term"], r["tf"]) for r in bm25.postings(tokens, ["chunk_id"]).collect())
+
+
 # ---------------------------------------------------------------- trigrams
 
 
