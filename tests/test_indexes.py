@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import ann_index, bm25, posting_blocks, trigram_index, vector_search
 from gleanery.operators.ann_index import AnnIndex, AnnSettings
+from gleanery.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 
@@ -174,6 +175,25 @@ def test_blocks_of_runs_are_those_of_all_postings(spark, worded, monkeypatch):
     assert got == sorted((str(r["chunk_id"]), r["dl"], r["term"], r["tf"]) for r in bm25.postings(tokens, ["chunk_id"]).collect())
 
 
+def test_postings_of_a_question_from_counted_rows(spark, worded):
+    """Only the question's terms are taken from the counts; rows of the same keys and length are one document."""
+    tokens = bm25.with_tokens(worded.unionByName(worded.where("chunk_id IN ('d1', 'd2')")))
+    rows = bm25.postings_of(bm25.counted(tokens, ["chunk_id"]), ["chunk_id"], ["w1", "common", "not there"])
+    want = bm25.postings(tokens, ["chunk_id"]).where("term IN ('w1', 'common')")
+    columns = ("chunk_id", "dl", "term", "tf")
+    assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_the_index_query_tokenises_once(spark, monkeypatch):
+    calls = []
+    real = catalogue._tokens
+    monkeypatch.setattr(catalogue, "_tokens", lambda *a: (calls.append(a), real(*a))[1])
+    found = catalogue.bm25_index_topk(spark, DATA)
+    plan = plan_of(found)
+    assert len(calls) == 1 and "documents.parquet" not in plan and "translate(" not in plan
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in catalogue.bm25_topk(spark, DATA).collect()]
+
+
 # ---------------------------------------------------------------- trigrams
 
 
