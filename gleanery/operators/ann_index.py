@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleanery.functions.batches import in_slices
 from gleanery.functions.vectors import as_matrix, checked_metric, distance_matrix, distance_to
 from gleanery.operators import tiles, vector_search
 from gleanery.session import cut_lineage
@@ -304,13 +305,17 @@ class AnnIndex:
         # Questions are read by cells and again for their candidates.
         named = cut_lineage(named)
 
-        @F.arrow_udf("array<int>")
-        def cells_of(vectors: pa.Array) -> pa.Array:
+        def nearest_cells(vectors: pa.Array) -> pa.Array:
             if vectors.null_count == len(vectors):
                 return pa.array([[] for _ in range(len(vectors))], pa.list_(pa.int32()))
             order = model.cell_order(np.nan_to_num(as_matrix(vectors)))[:, :n].astype(np.int32)
             return pa.array([row if ok else [] for row, ok in zip(order.tolist(), vectors.is_valid().to_pylist(), strict=True)], pa.list_(pa.int32()))
 
+        @F.arrow_udf("array<int>")
+        def cells_of(vectors: pa.Array) -> pa.Array:
+            # A question is a row of all cells here.
+            return in_slices(nearest_cells, pa.list_(pa.int32()), vectors)
+
         dealt = named.select("query_id", "asked", F.explode_outer(cells_of("asked")).alias("group")).where("group is not null")
         # The cell goes along, as tables of distances differ by cell.
         dealt = dealt.select("group", "query_id", F.struct("group", "asked").alias("asked"))
